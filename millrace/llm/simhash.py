@@ -79,8 +79,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _counts(fp: F.Column) -> F.Column:
-    """Bit counts of the 32 two-bit segments, in the same two bits each."""
-    return fp.bitwiseAND(F.lit(_LOW)) + F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(_LOW))
+    """Bit counts of the 32 two-bit segments, each in the segment's own two bits."""
+    upper = F.shiftrightunsigned(fp, 1)
+    one = fp.bitwiseXOR(upper).bitwiseAND(F.lit(_LOW))
+    two = fp.bitwiseAND(upper).bitwiseAND(F.lit(_LOW))
+    return one.bitwiseOR(F.shiftleft(two, 1))
 
 
 def _masks() -> list[int]:
@@ -97,11 +100,9 @@ def _within(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
     """Whether x and y link: the Manhattan bound on segment counts, then the bits themselves."""
     low = np.uint64(_LOW)
     one = np.uint64(1)
-    cx, cy = (x & low) + ((x >> one) & low), (y & low) + ((y >> one) & low)
-    # a count is 0, 1 or 2: counts 0-2 differ in the upper bit alone, other unlike counts by 1
-    other = cx ^ cy
-    odd, even = other & low, (other >> one) & low & ~(other & low)
-    bound = np.bitwise_count(odd | ((other >> one) & low & odd)) + 2 * np.bitwise_count(even)
+    differ = (((x ^ (x >> one)) & low) | ((x & (x >> one) & low) << one)) ^ (((y ^ (y >> one)) & low) | ((y & (y >> one) & low) << one))
+    by_one = differ & low  # counts of unlike parity differ by one, other unlike counts are 0 and 2
+    bound = np.bitwise_count(by_one) + 2 * np.bitwise_count((differ >> one) & low & ~by_one)
     near = bound <= radius
     near[near] = np.bitwise_count(x[near] ^ y[near]) <= radius
     return near
