@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, packing, secrets, simhash, toxicity
+from . import ann, chat, decontaminate, langid, packing, secrets, simhash, toxicity
 from .common import checkpointed, id_fold, table
 
 
@@ -27,6 +27,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), (id_fold("id", 3) == 1).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.learnable())
@@ -75,6 +79,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_langid": op2_langid,
+    "op3_ann": op3_ann,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_decontaminate": op8_decontaminate,
