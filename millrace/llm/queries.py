@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, langid, packing, secrets, simhash, toxicity
+from . import ann, chat, decontaminate, langid, lm, packing, secrets, simhash, toxicity
 from .common import checkpointed, id_fold, table
 
 
@@ -31,6 +31,13 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lm.fit(docs, lm.learnable())
+    out = lm.score(docs, model).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", (id_fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.learnable())
@@ -80,6 +87,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_langid": op2_langid,
     "op3_ann": op3_ann,
+    "op4_lm": op4_lm,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_decontaminate": op8_decontaminate,
