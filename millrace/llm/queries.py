@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, langid, lm, packing, secrets, simhash, toxicity
+from . import ann, chat, decontaminate, langid, lm, packing, passages, secrets, simhash, toxicity
 from .common import checkpointed, id_fold, table
 
 
@@ -38,6 +38,12 @@ def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (id_fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = passages.repeated_passages(table(spark, sf_dir, "documents"))
+    text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return out.select(F.col("id").alias("doc_id"), "class_id", "n_words", "n_repeated", F.size("spans").cast("long").alias("n_spans"), text.alias("spans"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.learnable())
@@ -88,6 +94,7 @@ QUERIES = {
     "op2_langid": op2_langid,
     "op3_ann": op3_ann,
     "op4_lm": op4_lm,
+    "op5_passages": op5_passages,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_decontaminate": op8_decontaminate,
