@@ -189,3 +189,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = connected_components(fingerprint_links(distinct.where("node is not null"), radius))
     classes = distinct.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return marked.join(classes, "fp").select("id", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
+    """docs, all columns, with one row of each near-duplicate group: of the group's smallest id, one row.
+
+    Rows without an id stay.
+    """
+    groups = near_duplicates(docs, id_col, text_col, width, radius)
+    others = groups.where("id is not null and id != component_id").select(F.col("id").alias("__copy")).distinct()
+    kept = docs.join(others, docs[id_col] == others["__copy"], "left_anti")
+    twice = groups.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    if not twice:
+        return kept
+    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
