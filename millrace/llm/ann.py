@@ -8,9 +8,9 @@ vector nearer than the k-th best would, with the chosen probability, still lie
 further off in the projection.
 
 A kd-tree over the projections deals the vectors into cells, and a smaller one
-in each block orders its leaves.  A query first searches its own cell for a
-bound, then only the cells that the stopping test leaves open.  A cell with many
-vectors - of one value, say - is split into blocks by vector id.
+in each block orders its leaves.  A query searches its nearest cell first, then,
+in widening rounds, the next ones that the stopping test leaves open.  A cell with
+many vectors - of one value, say - is split into blocks by vector id.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ CONFIDENCE = 0.95
 BLOCK_ROWS, LEAF_ROWS = 1024, 64
 #: Vectors that the cells are fitted on; at least 4 of them fall into a cell.
 SAMPLE_ROWS = 20_000
+#: A query visits 1 cell, then the next up to this factor more, and so on; each round tightens the stopping test of the next.
+WIDENING = 4
 SEED = 7
 #: Slack of the matrix product against the exact sum of one pair.
 SLACK = 1e-9
@@ -218,26 +220,21 @@ def search(placed: DataFrame, index: Index, queries: DataFrame, k: int, confiden
     limit = chi_square_quantile(confidence, DIMENSIONS)
     cells = sorted(index.boxes)
     low, high, blocks = (np.stack([index.boxes[c][j] for c in cells]) for j in range(3))
-    number = np.full(2 ** (len(index.axis) + 1).bit_length(), -1)
-    number[cells] = np.arange(len(cells))
+    
+    def routed(begin: int, end: int):
+        """Queries dealt to the cells that are the begin-th to end-th nearest in the projection, where the test leaves them open."""
 
-    def routed(first: bool):
         def batches(it):
             for b in it:
                 if not b.num_rows:
                     continue
                 q = _matrix(b.column("v"))
-                p = index.project_query(q)
-                away = _box_distance2(p, low, high)
-                home = away.argmin(axis=1)
-                bar = np.full(len(q), np.nan) if first else b.column("bar").to_numpy(zero_copy_only=False)
-                if first:
-                    wanted = np.zeros(away.shape, dtype=bool)
-                else:
-                    reach = np.where(np.isnan(bar), np.inf, limit * index.distance2((q**2).sum(axis=1), np.nan_to_num(bar)))
-                    wanted = ~(away > reach[:, None])
-                wanted[np.arange(len(q)), home] = first
-                i, c = np.nonzero(wanted)
+                away = _box_distance2(index.project_query(q), low, high)
+                order = np.argsort(away, axis=1, kind="stable")[:, begin:end]
+                bar = b.column("bar").to_numpy(zero_copy_only=False)
+                reach = np.where(np.isnan(bar), np.inf, limit * index.distance2((q**2).sum(axis=1), np.nan_to_num(bar)))
+                i, rank = np.nonzero(~(np.take_along_axis(away, order, axis=1) > reach[:, None]))
+                c = order[i, rank]
                 many = blocks[c]
                 i, c = np.repeat(i, many), np.repeat(c, many)
                 part = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
@@ -251,13 +248,20 @@ def search(placed: DataFrame, index: Index, queries: DataFrame, k: int, confiden
     find = _search(index, k, limit)
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
-    def visit(route: DataFrame) -> DataFrame:
-        return dealt.groupBy("block").cogroup(route.groupBy("block")).applyInPandas(find, FOUND)
-
-    one = checkpointed(visit(queries.mapInArrow(routed(True), "block long, id long, v array<double>, bar double")))
-    bars = one.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bar"))
-    two = visit(queries.join(bars, "id", "left").select("id", "v", "bar").mapInArrow(routed(False), "block long, id long, v array<double>, bar double"))
-    return one.union(two).withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best, begin, end = None, 0, 1
+    while begin < len(cells):
+        if best is None:
+            asked = queries.select("id", "v", F.lit(None).cast("double").alias("bar"))
+        else:
+            bars = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bar"))
+            asked = queries.join(bars, "id", "left").select("id", "v", "bar")
+        route = asked.mapInArrow(routed(begin, end), "block long, id long, v array<double>, bar double")
+        found = dealt.groupBy("block").cogroup(route.groupBy("block")).applyInPandas(find, FOUND)
+        if best is not None:
+            found = found.union(best.select("query_id", "vec_id", "score"))
+        best = checkpointed(found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k))
+        begin, end = end, end * WIDENING
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
