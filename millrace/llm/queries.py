@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, langid, lm, packing, passages, secrets, simhash, toxicity
+from . import ann, chat, decontaminate, langid, lm, oracles, packing, passages, secrets, simhash, toxicity
 from .common import checkpointed, id_fold, table
 
 
@@ -102,4 +102,8 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_secret_scan": oracles.SECRETS,
+    "op8_decontaminate": oracles.CONTAMINATION,
+    "op9_chat": oracles.CHAT,
+}
