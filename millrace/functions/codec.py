@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .scalars import iso_utc
 
@@ -30,7 +31,7 @@ def is_poison(value: Column) -> Column:
     return ~F.coalesce(kind.like("OBJECT%"), F.lit(False))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_poison_exact(value: pd.Series) -> pd.Series:
     """As is_poison, by a strict JSON reader."""
 
