@@ -120,7 +120,7 @@ def _level(code: np.ndarray, n: np.ndarray, size: np.ndarray, parent: np.ndarray
     kept = np.bincount(context, weights=n, minlength=len(size))
     expected = np.bincount(context, weights=parent, minlength=len(size))
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.bincount(context, weights=n * np.log(n / size[context] / parent), minlength=len(size))
+        gain = np.bincount(context, weights=n * np.log(n / size[context] / parent), minlength=len(size)).astype(float)
         left = size - kept
         gain += np.where(left > 0, left * np.log(left / size / np.maximum(1 - expected, 1e-12)), 0.0)
     retained = (kept > 0) & (gain > DIVERGENCE * math.log(max(tokens, 2)))
