@@ -47,11 +47,10 @@ def is_poison_exact(value: pd.Series) -> pd.Series:
 
 def envelope_type(value: Column) -> Column:
     """The type as text, null where absent; JSON null reads None, true and false True and False."""
-    v = F.try_variant_get(F.try_parse_json(value), "$.type", "variant")
-    text = F.try_variant_get(F.try_parse_json(value), "$.type", "string")
-    there = F.array_contains(F.json_object_keys(value), "type")
-    named = F.when(F.schema_of_variant(v) == "BOOLEAN", F.initcap(text)).otherwise(text)
-    return F.when(there, F.coalesce(named, F.lit("None")))
+    parsed = F.try_parse_json(value)
+    kind = F.schema_of_variant(F.try_variant_get(parsed, "$.type", "variant"))
+    text = F.try_variant_get(parsed, "$.type", "string")
+    return F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
 
 
 def decode(rows: DataFrame, value_col: str = "value", exact: bool = False) -> DataFrame:
