@@ -37,8 +37,7 @@ def words(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     ascii_only = F.octet_length(text) == F.length(text)
     lower = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
-    core = F.regexp_replace(lower, rf"\A{_GAP}|{_GAP}\z", "")
-    return F.when(core == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(core, _GAP))
+    return F.array_remove(F.split(lower, _GAP), "")
 
 
 def _shingles(ws: str, k: int) -> Column:
