@@ -29,6 +29,8 @@ LEAST, GRAM = 50, 8
 SPAN = LEAST - GRAM + 1
 #: Suffixes of one hash that are compared by sorting; more are compared by counted windows.
 HOT = 50_000
+#: Parts that the windows of such hashes are dealt to by their place, so that no window's rows meet in one task.
+SALTS = 32
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -196,7 +198,10 @@ def _hot(windows: DataFrame, least: int) -> DataFrame:
     """The same as _compare for suffixes of very common hashes, by counted windows."""
     each = windows.select("key", "at", F.posexplode("w").alias("a", "v")).where("v != 0").select("key", (F.col("at") - F.col("a")).alias("start"), "v")
     shared = each.groupBy("v").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low != high")
-    met = each.join(shared, "v").select("key", "start", (F.col("start") + least).alias("end"), F.col("low").alias("other"))
+    # the few shared windows go to every part, the many places to one each
+    each = each.withColumn("salt", F.pmod(F.xxhash64("key", "start"), F.lit(SALTS)).cast("int"))
+    shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = each.join(shared, ["v", "salt"]).select("key", "start", (F.col("start") + least).alias("end"), F.col("low").alias("other"))
     edges = met.where("key != other").select("key", "other").distinct()
     none = F.lit(None).cast("long")
     return met.select("key", "start", "end", none.alias("other")).distinct().union(edges.select("key", none, none, "other"))
