@@ -38,8 +38,8 @@ PRIOR = 4.0
 #: Bits of a word's number; the shares keep it and the number of pairs below.
 BITS = 20
 CHUNK = 2_000_000
-HELD_WORDS = 300_000
-HELD_PAIRS = 1_000_000
+HELD_WORDS = 250_000
+HELD_PAIRS = 800_000
 
 #: The end token, and what stands before a text; a word never holds a blank.
 END_WORD = b" "
@@ -55,6 +55,13 @@ def _lowered(column: pa.Array) -> list[bytes]:
     return [(t or b"").lower() for t in column.cast(pa.binary()).to_pylist()]
 
 
+def _sliced(batches, rows: int = 500):
+    """Small slices of the batches, so that few texts are held as Python objects at a time."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def _chunks(texts: list[bytes], size: int):
     chunk: list[bytes] = []
     held = 0
@@ -79,13 +86,12 @@ def count_words(train: DataFrame, text_col: str = "text") -> DataFrame:
             seen.clear()
             return out
 
-        for b in it:
+        for b in _sliced(it):
             for t in _lowered(b.column("text")):
                 seen.update(words(t))
                 if len(seen) > HELD_WORDS:
                     yield rows()
-            if b.num_rows:
-                seen[END_WORD] += b.num_rows
+            seen[END_WORD] += b.num_rows
         if seen:
             yield rows()
 
@@ -199,7 +205,7 @@ def count_contexts(train: DataFrame, tree: Tree, text_col: str = "text") -> Data
             code, where = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
             return code, np.bincount(where, weights=np.concatenate([n for _, n in held])).astype(np.int64)
 
-        for b in it:
+        for b in _sliced(it):
             for chunk in _chunks(_lowered(b.column("text")), CHUNK):
                 flat, tokens = tree.numbers(chunk)
                 first = _starts(tokens)
@@ -274,7 +280,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def batches(it):
         tree = _unpacked(packed)
         base_log = np.log10(tree.root)
-        for b in it:
+        for b in _sliced(it):
             texts, done = _lowered(b.column("text")), 0
             for chunk in _chunks(texts, CHUNK):
                 flat, tokens = tree.numbers(chunk)
