@@ -7,7 +7,8 @@ wherever the run occurs, so every passage of LEAST words has a retained suffix i
 each of its copies.
 
 A first pass shuffles the suffixes' hashes alone and keeps those that occur more
-than once.  Their documents are then joined back, and each kept suffix carries the
+than once.  Their documents are then joined back, those of the few heavy hashes
+without a shuffle of their rows, and each kept suffix carries the
 hashes of the LEAST-word windows around it, reaching left and right.  Suffixes are
 sorted by their hash; neighbours with an equal window extend the match to it.  A
 very common hash is not gathered: its windows are counted as rows of their own.
@@ -31,6 +32,8 @@ SPAN = LEAST - GRAM + 1
 HOT = 50_000
 #: Parts that the windows of such hashes are dealt to by their place, so that no window's rows meet in one task.
 SALTS = 32
+#: A hash with over one part in HEAVY of all suffixes is heavy. There are fewer than HEAVY of these, so their list is broadcast.
+HEAVY = 10_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -194,6 +197,13 @@ def _compare(gram: int, least: int):
     return batches
 
 
+def _joined(dealt: DataFrame, again: DataFrame) -> DataFrame:
+    """dealt joined with the counts of its hashes that occur again; the rows of heavy hashes stay where they are."""
+    heavy = F.col("n") * HEAVY > dealt.count()
+    listed = F.broadcast(again.where(heavy))
+    return dealt.join(listed, "h").unionByName(dealt.join(listed, "h", "left_anti").join(again.where(~heavy), "h"))
+
+
 def _hot(windows: DataFrame, least: int) -> DataFrame:
     """The same as _compare for suffixes of very common hashes, by counted windows."""
     each = windows.select("key", "at", F.posexplode("w").alias("a", "v")).where("v != 0").select("key", (F.col("at") - F.col("a")).alias("start"), "v")
@@ -223,8 +233,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         own = checkpointed(own.groupBy("key").agg(F.min("text").alias("text")))
     suffixes = _suffixes(own, least, gram)
     dealt = checkpointed(suffixes)
-    again = dealt.groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).where("low != high")
-    kept = dealt.join(again.select("h", "n"), "h")
+    again = checkpointed(dealt.groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).where("low != high").select("h", "n"))
+    kept = _joined(dealt, again)
     by_doc = kept.groupBy("key").agg(F.collect_set("h").alias("wanted"), F.collect_set(F.when(F.col("n") > hot, F.col("h"))).alias("hot"))
     windows = checkpointed(_windows(own.join(by_doc, "key"), least, gram))
     sorted_ = windows.where("not hot").select("h", "key", "at", "w").repartition("h").sortWithinPartitions("h")

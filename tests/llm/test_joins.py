@@ -109,8 +109,9 @@ def brute_passages(texts, least=50):
     return out
 
 
-@pytest.mark.parametrize("hot", [50_000, 0])
-def test_passages_equal_brute_force(spark, hot):
+@pytest.mark.parametrize(("hot", "heavy"), [(50_000, 10_000), (0, 1), (50_000, 60)])
+def test_passages_equal_brute_force(spark, hot, heavy, monkeypatch):
+    monkeypatch.setattr(passages, "HEAVY", heavy)
     rng = np.random.default_rng(1)
     say = lambda n, v=400: " ".join(f"w{k}" for k in rng.integers(0, v, n))
     shared, line = say(60), " ".join(["again and again"] * 30)
