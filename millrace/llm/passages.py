@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, own_columns
+from .common import checkpointed, join_counted, own_columns
 from .components import connected_components, spanning_forest
 
 #: Least words of a passage; words of a suffix's hash; hashes of a window of which the least is selected.
@@ -32,8 +32,6 @@ SPAN = LEAST - GRAM + 1
 HOT = 50_000
 #: Parts that the windows of such hashes are dealt to by their place, so that no window's rows meet in one task.
 SALTS = 32
-#: A hash with over one part in HEAVY of all suffixes is heavy. There are fewer than HEAVY of these, so their list is broadcast.
-HEAVY = 10_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -197,13 +195,6 @@ def _compare(gram: int, least: int):
     return batches
 
 
-def _joined(dealt: DataFrame, again: DataFrame) -> DataFrame:
-    """dealt joined with the counts of its hashes that occur again; the rows of heavy hashes stay where they are."""
-    heavy = F.col("n") * HEAVY > dealt.count()
-    listed = F.broadcast(again.where(heavy))
-    return dealt.join(listed, "h").unionByName(dealt.join(listed, "h", "left_anti").join(again.where(~heavy), "h"))
-
-
 def _hot(windows: DataFrame, least: int) -> DataFrame:
     """The same as _compare for suffixes of very common hashes, by counted windows."""
     each = windows.select("key", "at", F.posexplode("w").alias("a", "v")).where("v != 0").select("key", (F.col("at") - F.col("a")).alias("start"), "v")
@@ -234,7 +225,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     suffixes = _suffixes(own, least, gram)
     dealt = checkpointed(suffixes)
     again = checkpointed(dealt.groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).where("low != high").select("h", "n"))
-    kept = _joined(dealt, again)
+    kept = join_counted(dealt, again, "h", dealt.count())
     by_doc = kept.groupBy("key").agg(F.collect_set("h").alias("wanted"), F.collect_set(F.when(F.col("n") > hot, F.col("h"))).alias("hot"))
     windows = checkpointed(_windows(own.join(by_doc, "key"), least, gram))
     sorted_ = windows.where("not hot").select("h", "key", "at", "w").repartition("h").sortWithinPartitions("h")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm import ann, chat, decontaminate, packing, passages
+from millrace.llm import ann, chat, common, decontaminate, packing, passages
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -111,7 +111,7 @@ def brute_passages(texts, least=50):
 
 @pytest.mark.parametrize(("hot", "heavy"), [(50_000, 10_000), (0, 1), (50_000, 60)])
 def test_passages_equal_brute_force(spark, hot, heavy, monkeypatch):
-    monkeypatch.setattr(passages, "HEAVY", heavy)
+    monkeypatch.setattr(common, "HEAVY", heavy)
     rng = np.random.default_rng(1)
     say = lambda n, v=400: " ".join(f"w{k}" for k in rng.integers(0, v, n))
     shared, line = say(60), " ".join(["again and again"] * 30)

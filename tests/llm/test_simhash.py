@@ -3,7 +3,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from millrace.llm import simhash
+from millrace.llm import common, simhash
 from millrace.llm.components import connected_components
 
 
@@ -70,10 +70,13 @@ def test_large_cell_goes_by_blocks(monkeypatch):
     assert set(v) == {0} and len(u) == 99
 
 
-def test_components_of_a_chain_and_empty(spark):
-    chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 905), (None, 3)], "u long, v long")
+@pytest.mark.parametrize("heavy", [10_000, 1, 30])
+def test_components_of_a_chain_a_hub_and_empty(spark, monkeypatch, heavy):
+    monkeypatch.setattr(common, "HEAVY", heavy)
+    hub = [(500, i) for i in range(100, 150)]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + hub + [(900, 905), (None, 3)], "u long, v long")
     got = {r.node: r.component for r in connected_components(chain).collect()}
-    assert got == {i: 0 for i in range(201)} | {900: 900, 905: 900}
+    assert got == {i: 0 for i in [*range(201), 500]} | {900: 900, 905: 900}
     assert connected_components(chain.where("u > 9999")).count() == 0
 
 
