@@ -7,9 +7,6 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key with over one part in HEAVY of all rows is heavy; there are fewer than HEAVY of these, whatever the table.
-HEAVY = 10_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named table of a data folder; the path may be in any store that Spark reads."""
@@ -44,15 +41,3 @@ def id_fold(id_col: str | Column, folds: int) -> Column:
 def own_columns(docs: DataFrame, **names: str) -> DataFrame:
     """The columns an operator needs under private names, so that no column of the caller can clash."""
     return docs.select(*[docs[source].alias(name) for name, source in names.items()])
-
-
-def join_counted(rows: DataFrame, counted: DataFrame, key: str, total: int) -> DataFrame:
-    """rows joined by key with counted, which has n, the rows of each key; total is the number of rows.
-
-    The list of the heavy keys is bounded and is broadcast, so their rows stay
-    where they are; the others' rows are shuffled.
-    """
-    heavy = F.col("n") * HEAVY > total
-    listed = F.broadcast(counted.where(heavy))
-    rest = rows.join(listed, key, "left_anti").join(counted.where(~heavy), key)
-    return rows.join(listed, key).unionByName(rest)

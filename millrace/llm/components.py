@@ -2,8 +2,8 @@
 
 Each step replaces edges by edges to the smallest known neighbour; the edge set
 shrinks to one star per component in a logarithmic number of rounds.  Every step
-is a partially aggregated minimum and a join that leaves a hub's edges where they
-are, so they are never gathered in one task, and each round is checkpointed.
+is a partially aggregated minimum and an equi-join, whose rows a task reads as a
+stream; a hub's edges do meet in one task of the join.  Each round is checkpointed.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, join_counted
+from .common import checkpointed
 
 
 def spanning_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,11 +69,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         seen = state
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
-        large = join_counted(both, low, "u", 2 * state[0]).where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = checkpointed(large.distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = join_counted(large, low, "u", large.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         now = checkpointed(small.union(low.select("u", F.col("m").alias("v"))).distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
