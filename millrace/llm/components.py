@@ -2,8 +2,8 @@
 
 Each step replaces edges by edges to the smallest known neighbour; the edge set
 shrinks to one star per component in a logarithmic number of rounds.  Every step
-is a partially aggregated minimum and an equi-join, whose rows a task reads as a
-stream; a hub's edges do meet in one task of the join.  Each round is checkpointed.
+is a partially aggregated minimum and a join that leaves a hub's edges where they
+are, so they never meet in one task.  Each round is checkpointed.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+#: A node with over one part in HEAVY of all edges is a hub. There are fewer than HEAVY of these, so their list is broadcast.
+HEAVY = 10_000
+
 
 def spanning_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, smallest node of its group) that keep the connectivity of the pairs a-b."""
@@ -48,6 +51,14 @@ def _local_forests(frames):
             yield pd.DataFrame({"u": a, "v": b})
 
 
+def _beside_least(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
+    """edges with m of their u; low has m and n, the edges, of each u, and total is the number of all edges."""
+    hub = F.col("n") * HEAVY > total
+    listed = F.broadcast(low.where(hub).select("u", "m"))
+    rest = edges.join(listed, "u", "left_anti").join(low.where(~hub).select("u", "m"), "u")
+    return edges.join(listed, "u").unionByName(rest)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of an edge table (u, v of type long).
 
@@ -69,11 +80,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         seen = state
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        large = _beside_least(both, low, 2 * state[0]).where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = checkpointed(large.distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _beside_least(large, low, large.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         now = checkpointed(small.union(low.select("u", F.col("m").alias("v"))).distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -3,7 +3,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from millrace.llm import simhash
+from millrace.llm import components, simhash
 from millrace.llm.components import connected_components
 
 
@@ -77,6 +77,14 @@ def test_components_of_a_chain_and_empty(spark):
     assert connected_components(chain.where("u > 9999")).count() == 0
 
 
+@pytest.mark.parametrize("heavy", [1, 4, 10_000])
+def test_components_with_hubs(spark, monkeypatch, heavy):
+    monkeypatch.setattr(components, "HEAVY", heavy)
+    edges = [(500, i) for i in range(501, 700)] + [(40, i) for i in range(600, 650)] + [(700, 701)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {40: 40, **{i: 40 for i in range(500, 700)}, 700: 700, 701: 700}
+
+
 def test_empty_table_repeats_and_null_ids(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d")], "doc_id long, text string")
     assert [r.component_id for r in simhash.near_duplicates(docs).collect()] == [1, 1, 1]
