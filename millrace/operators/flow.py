@@ -100,28 +100,32 @@ def hysteresis_by_age(series: DataFrame, key: str, order: str, age: str, trip: f
     return series.withColumn("rejecting", F.coalesce(F.last(mark, ignorenulls=True).over(Window.partitionBy(key).orderBy(order)), F.lit(False)))
 
 
-def hysteresis(series: DataFrame, key: str, order: str, trip: float, recover: float, fail_closed: bool = True, any_degraded: bool = False) -> DataFrame:
-    """series (reachable, status, kafka, age) with state and reason, by the full transition table.
+def next_reason(reason: str | None, reachable: bool, status: str | None, kafka: str | None, age: float | None, trip: float, recover: float, fail_closed: bool, any_degraded: bool) -> str | None:
+    """Why records are refused after one more probe; None while they are taken.
 
     Unreachable trips (if fail-closed) unless rejecting already.  A lost broker, or
     a status that isn't healthy where that counts, trips over any reason.  Any other
     reason than backlog ends: in a backlog above `trip`, else open.  No age opens; a
     backlog ends below `recover` and begins above `trip`.
     """
+    if not reachable:
+        return "unreachable" if fail_closed and reason is None else reason
+    if kafka != "connected" or (any_degraded and status != "healthy"):
+        return "kafka_down"
+    if reason not in (None, "backlog"):
+        return "backlog" if age is not None and age > trip else None
+    if age is None:
+        return None
+    if reason == "backlog":
+        return None if age < recover else reason
+    return "backlog" if age > trip else None
+
+
+def hysteresis(series: DataFrame, key: str, order: str, trip: float, recover: float, fail_closed: bool = True, any_degraded: bool = False) -> DataFrame:
+    """series (reachable, status, kafka, age) with state and reason, by the transitions of next_reason."""
 
-    def step(reason, reachable, status, kafka, age):
-        if not reachable:
-            reason = "unreachable" if fail_closed and reason is None else reason
-        elif kafka != "connected" or (any_degraded and status != "healthy"):
-            reason = "kafka_down"
-        elif reason not in (None, "backlog"):
-            reason = "backlog" if age is not None and age > trip else None
-        elif age is None:
-            reason = None
-        elif reason == "backlog":
-            reason = None if age < recover else reason
-        elif age > trip:
-            reason = "backlog"
+    def step(reason, *said):
+        reason = next_reason(reason, *said, trip, recover, fail_closed, any_degraded)
         return reason, "OPEN" if reason is None else "REJECTING", reason
 
     return ordered_fold(series, [key], [order], ["reachable", "status", "kafka", "age"], lambda: None, step, "state string, reason string")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,22 +14,24 @@ from .dedup import collapse_last
 
 @dataclass(frozen=True)
 class Upsert:
-    """A target: its columns, its keys, a name, columns left out, and an optional transform of the rows."""
+    """A target: its columns, its keys, a name, columns left out, an optional transform of the rows, and types of columns that rows may lack."""
 
     columns: tuple[str, ...]
     keys: tuple[str, ...]
     name: str
     exclude: tuple[str, ...] = ()
     prepare: object = None
+    types: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self):
         if not self.keys or not set(self.keys) <= set(self.columns):
             raise ValueError("keys must be there and be among the columns")
 
     def project(self, rows: DataFrame) -> DataFrame:
-        """The target's columns of the prepared rows; a missing one is null."""
+        """The target's columns of the prepared rows; a missing one is null, of its type in `types` or a string."""
         rows = self.prepare(rows) if self.prepare else rows
-        return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in self.columns if c not in self.exclude])
+        none = lambda c: F.lit(None).cast(self.types.get(c, "string")).alias(c)
+        return rows.select(*[F.col(c) if c in rows.columns else none(c) for c in self.columns if c not in self.exclude])
 
 
 def key_missing(rows: DataFrame, keys: list[str]) -> Column:
