@@ -7,10 +7,12 @@ from its parent's (the context without its first word) by more than chance, and
 is smoothed towards the parent's: what its kept counts leave goes to the parent's
 distribution.  A text is scored by the longest retained suffix at each position.
 
-Counts are taken over all training rows.  Words, contexts and next symbols enter
-the tree from a fixed share of all tokens on, which bounds each level of the tree
-by the share's inverse whatever the corpus.  Rarer words are joined with the full
-table of counts; their contexts add what these leave to the root.
+Counts are taken over all training rows, and a pair or triple of words counts from
+LEAST occurrences on whatever the corpus.  The levels are tables.  What has a fixed
+share of all tokens is also held as a tree in memory, which the share bounds; what
+the rest adds to a score is joined from the tables by key, so that scores do not
+depend on the share.  Keys are 63-bit hashes.  A filter of the joined keys spares
+lines that would meet nothing; it admits too much where it is full, never too little.
 """
 
 from __future__ import annotations
@@ -23,14 +25,22 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ensure_checkpoint_dir, id_fold, own_columns
 
-#: Least share of all tokens of a word, of a context with a next word, and least count of the latter.
-WORD_SHARE, PAIR_SHARE, LEAST = 1e-6, 1e-6, 3
+#: Least share of all tokens of what the tree in memory holds: words, and contexts with a next word.
+WORD_SHARE, PAIR_SHARE = 1e-6, 1e-6
+#: Least count of a context with a next word.
+LEAST = 3
+#: Share of all tokens from which on a key meets a broadcast list, which holds fewer than its inverse.
+HOT_SHARE = 1e-4
+#: Bits of the filter for each key, and at most.
+FILTER_BITS, FILTER_MOST = 32, 1 << 28
+FILTER_BLOCK = 1 << 16
 #: Divergence times count, in nats, that a context must exceed, over the log of the tokens.
 DIVERGENCE = 3.0
 #: Weight of the parent's distribution, in symbols.
@@ -118,21 +128,6 @@ class Level:
         return np.where((self.code[at] == wanted) & (context >= 0) & (word >= 0), at, -1)
 
 
-def _level(code: np.ndarray, n: np.ndarray, size: np.ndarray, parent: np.ndarray, tokens: int) -> Level:
-    """A level from kept pairs: size by context, parent the parent's probability of each pair's next word."""
-    order = np.argsort(code)
-    code, n, parent = code[order], n[order].astype(float), parent[order]
-    context = code >> BITS
-    kept = np.bincount(context, weights=n, minlength=len(size))
-    expected = np.bincount(context, weights=parent, minlength=len(size))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.bincount(context, weights=n * np.log(n / size[context] / parent), minlength=len(size)).astype(float)
-        left = size - kept
-        gain += np.where(left > 0, left * np.log(left / size / np.maximum(1 - expected, 1e-12)), 0.0)
-    retained = (kept > 0) & (gain > DIVERGENCE * math.log(max(tokens, 2)))
-    return Level(code, n, size, left + PRIOR, retained)
-
-
 @dataclass
 class Tree:
     """Numbers of the common words, their root probabilities, and the levels below the root."""
@@ -185,7 +180,7 @@ class Tree:
 
 
 @lru_cache(maxsize=2)
-def _unpacked(packed: bytes) -> Tree:
+def _unpacked(packed: bytes) -> Tree | Filter | None:
     return pickle.loads(packed)
 
 
@@ -193,44 +188,149 @@ def _starts(tokens: list[list[bytes]]) -> np.ndarray:
     return np.concatenate([[0], np.cumsum([len(t) + 1 for t in tokens])[:-1]]).astype(np.int64)
 
 
-def count_contexts(train: DataFrame, tree: Tree, text_col: str = "text") -> DataFrame:
-    """(code long, n long): contexts of the tree's next level with the common word that follows, counted over all rows."""
-    packed = pickle.dumps(tree)
+def _hashes(tokens) -> np.ndarray:
+    """Odd 64-bit hashes of words."""
+    flat = np.empty(len(tokens), dtype=object)
+    flat[:] = tokens
+    return pd.util.hash_array(flat, categorize=False) | np.uint64(1)
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Odd 64-bit keys of two keys in this order."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    return x | np.uint64(1)
+
+
+def _keys(tokens: list[list[bytes]], first: np.ndarray) -> list[np.ndarray]:
+    """By length from 1 to 3, the key of the words that end at each place of START, words and END; 0 where a text has none."""
+    h = _hashes([w for t in tokens for w in (START_WORD, *t)])
+    pair = np.zeros(len(h), dtype=np.uint64)
+    pair[1:] = _pair(h[:-1], h[1:])
+    pair[first] = 0
+    triple = np.zeros(len(h), dtype=np.uint64)
+    triple[1:] = np.where((pair[:-1] != 0) & (pair[1:] != 0), _pair(pair[:-1], h[1:]), np.uint64(0))
+    return [h, pair, triple]
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def _unsigned(column) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
+@dataclass
+class Filter:
+    """A bit by key; every key that was put in is found."""
+
+    bits: np.ndarray
+
+    def has(self, key: np.ndarray) -> np.ndarray:
+        at = (key >> np.uint64(1)) & np.uint64(len(self.bits) * 8 - 1)
+        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool) & (key != 0)
+
+
+def _filter(keys: DataFrame) -> Filter:
+    """The filter of the column key."""
+    wanted = FILTER_BITS * keys.count()
+    size = min(FILTER_MOST, max(FILTER_BLOCK, 1 << wanted.bit_length()))
+    at = F.shiftrightunsigned("key", 1).bitwiseAND(F.lit(size - 1))
+
+    def block(rows: pa.Table) -> pa.Table:
+        bits = np.zeros(FILTER_BLOCK, dtype=np.uint8)
+        bits[rows.column("at").to_numpy() % FILTER_BLOCK] = 1
+        return pa.table({"block": rows.column("block").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    got = keys.select(at.alias("at")).select("at", F.floor(F.col("at") / FILTER_BLOCK).cast("long").alias("block")).groupBy("block").applyInArrow(block, "block long, bits binary").toArrow()
+    out = np.zeros((size // FILTER_BLOCK, FILTER_BLOCK // 8), dtype=np.uint8)
+    for k, bits in zip(*(c.to_pylist() for c in got.columns)):
+        out[k] = np.frombuffer(bits, dtype=np.uint8)
+    return Filter(out.ravel())
+
+
+def count_runs(train: DataFrame, length: int, kept: Filter | None = None, text_col: str = "text") -> DataFrame:
+    """(a, b, [c,] n, key, [head, tail]): pairs or triples of words that occur LEAST times or more, by the hashes of their words.
+
+    kept holds the pairs that a triple must consist of to occur so often.  head
+    and tail are the keys of a triple's pairs.
+    """
+    packed = pickle.dumps(kept)
+    names = ["a", "b", "c"][:length]
 
     def batches(it):
-        tree = _unpacked(packed)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        kept = _unpacked(packed)
+        held: list[list[np.ndarray]] = []
 
         def merged():
-            code, where = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            return code, np.bincount(where, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+            key, where, back = np.unique(np.concatenate([x[0] for x in held]), return_index=True, return_inverse=True)
+            n = np.bincount(back, weights=np.concatenate([x[1] for x in held]), minlength=len(key)).astype(np.int64)
+            return [key, n, *(np.concatenate([x[k + 2] for x in held])[where] for k in range(length))]
+
+        def rows(x):
+            return pa.record_batch([*(_signed(c) for c in x[2:]), pa.array(x[1])], names=[*names, "n"])
 
         for b in _sliced(it):
             for chunk in _chunks(_lowered(b.column("text")), CHUNK):
-                flat, tokens = tree.numbers(chunk)
-                first = _starts(tokens)
-                context = tree.contexts(flat, first)[len(tree.levels)]
-                ok = (context >= 0) & (flat >= 0)
-                held.append(np.unique((context[ok] << BITS) | flat[ok], return_counts=True))
-                if sum(len(c) for c, _ in held) > HELD_PAIRS:
+                tokens = [[*words(t), END_WORD] for t in chunk]
+                keys = _keys(tokens, _starts(tokens))
+                ok = keys[length - 1] != 0
+                if kept is not None:
+                    has = kept.has(keys[1])
+                    ok[1:] &= has[:-1] & has[1:]
+                at = np.flatnonzero(ok)
+                key, where, n = np.unique(keys[length - 1][at], return_index=True, return_counts=True)
+                at = at[where]
+                held.append([key, n, *(keys[0][at - length + 1 + k] for k in range(length))])
+                if sum(len(x[0]) for x in held) > HELD_PAIRS:
                     held[:] = [merged()]
                     if len(held[0][0]) > HELD_PAIRS // 2:
-                        yield pa.record_batch([pa.array(x) for x in held.pop()], names=["code", "n"])
+                        yield rows(held.pop())
         if held:
-            yield pa.record_batch([pa.array(x) for x in merged()], names=["code", "n"])
+            yield rows(merged())
+
+    def keyed(it):
+        for b in it:
+            w = [_unsigned(b.column(c)) for c in names]
+            pairs = [_pair(x, y) for x, y in zip(w, w[1:])]
+            key = pairs if length == 2 else [_pair(pairs[0], w[2]), *pairs]
+            yield pa.record_batch([*b.columns, *(_signed(x) for x in key)], names=[*names, "n", "key", "head", "tail"][: length + 1 + len(key)])
 
-    return own_columns(train, text=text_col).mapInArrow(batches, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    kind = "".join(f"{c} long, " for c in names) + "n long"
+    counted = own_columns(train, text=text_col).mapInArrow(batches, kind).groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    return counted.mapInArrow(keyed, kind + ", key long" + (", head long, tail long" if length == 3 else ""))
+
+
+def _joined(rows: DataFrame, right: DataFrame, key: str, hot: Column) -> DataFrame:
+    """rows with right's columns by key, which right has once each; its hot keys meet a broadcast list."""
+    listed = F.broadcast(right.where(hot))
+    return rows.join(listed, key).unionByName(rows.join(F.broadcast(right.where(hot).select(key)), key, "left_anti").join(right.where(~hot), key))
+
+
+def _contexts(rows: DataFrame, sizes: DataFrame, key: str, tokens: int) -> DataFrame:
+    """(key, size, rest, retained) of the contexts of rows (key, n, parent): parent is the parent's probability of the next word."""
+    sums = rows.groupBy(key).agg(F.sum("n").alias("kept"), F.sum("parent").alias("expected"), F.sum(F.col("n") * F.log(F.col("n") / F.col("parent"))).alias("gain"))
+    left = F.col("size") - F.col("kept")
+    other = F.when(left > 0, left * F.log(left / F.col("size") / F.greatest(1 - F.col("expected"), F.lit(1e-12)))).otherwise(0.0)
+    gain = F.col("gain") - F.col("kept") * F.log("size") + other
+    retained = gain > DIVERGENCE * math.log(max(tokens, 2))
+    return sums.join(sizes, key).select(key, "size", (left + PRIOR).alias("rest"), retained.alias("retained"))
 
 
 @dataclass
 class Model:
-    """What scoring needs: the packed tree, token totals, and the table of all words' counts."""
+    """What scoring needs: the packed tree, token totals, the table of all words' counts, and what keys outside of the tree add."""
 
     packed: bytes
     tokens: int
     vocabulary: int
     least: int
     table: DataFrame
+    added: DataFrame
+    filter: bytes
 
 
 def fit(docs: DataFrame, usable: Column | None = None, text_col: str = "text") -> Model:
@@ -238,34 +338,85 @@ def fit(docs: DataFrame, usable: Column | None = None, text_col: str = "text") -
     spark = docs.sparkSession
     train = docs.where(usable) if usable is not None else docs
     place = f"{ensure_checkpoint_dir(spark)}/lm-{uuid.uuid4().hex}"
-    count_words(train, text_col).write.parquet(place)
-    table = spark.read.parquet(place)
+
+    def stored(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{place}/{name}")
+        return spark.read.parquet(f"{place}/{name}")
+
+    def hashed(it):
+        for b in it:
+            yield pa.record_batch([*b.columns, _signed(_hashes(b.column("word").to_pylist()))], names=["word", "n", "key"])
+
+    table = stored("words", count_words(train, text_col).mapInArrow(hashed, "word binary, n long, key long"))
     whole = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    least = max(1, math.ceil(whole.n * WORD_SHARE))
-    common = {bytes(w): n for w, n in zip(*(c.to_pylist() for c in table.where(F.col("n") >= least).toArrow().columns))}
+    least, enough, hot = (max(m, math.ceil(whole.n * share)) for m, share in ((1, WORD_SHARE), (LEAST, PAIR_SHARE), (1, HOT_SHARE)))
+    common = {bytes(w): n for w, n in zip(*(c.to_pylist() for c in table.where(F.col("n") >= least).select("word", "n").toArrow().columns))}
     names = sorted(common)
     n = np.array([common[w] for w in names], dtype=float)
-    root = (n + 0.5) / (whole.n + 0.5 * (whole.v + 1))
-    texts = common.get(END_WORD, 0)
-    tree = Tree([*names, START_WORD], np.append(root, 1.0), [])
+    floor = whole.n + 0.5 * (whole.v + 1)
+    texts = table.where(F.col("word") == F.lit(END_WORD)).select("n").first()
+    texts = texts.n if texts else 0
+
     # a word is a context as often as it occurs, but for the end; a text's start as often as there are texts
-    size = np.append(np.where(np.array([w == END_WORD for w in names], dtype=bool), 0, n), texts) if names else np.array([0.0])
-    enough = max(LEAST, math.ceil(whole.n * PAIR_SHARE))
-    for _ in range(2):
-        pairs = count_contexts(train, tree, text_col).where(F.col("n") >= enough).toArrow()
-        code, m = (pairs.column(c).to_numpy() for c in ("code", "n"))
-        word = code & ((1 << BITS) - 1)
-        parent = tree.root[word]
-        if tree.levels:
-            # the parent of a pair of words is its second word
-            above = tree.levels[0]
-            second = above.code[code >> BITS] & ((1 << BITS) - 1)
-            found = above.find(second, word)
-            mixed = (np.where(found >= 0, above.n[found], 0.0) + above.rest[second] * parent) / (above.size[second] + PRIOR) if len(code) else parent
-            parent = np.where(above.retained[second], mixed, parent)
-        tree.levels.append(_level(code, m, size, parent, whole.n))
-        size = tree.levels[0].n
-    return Model(pickle.dumps(tree), whole.n, whole.v, least, table)
+    start = int(_hashes([START_WORD]).view(np.int64)[0])
+    sizes = table.where(F.col("word") != F.lit(END_WORD)).select(F.col("key").alias("a"), F.col("n").alias("size"))
+    sizes = sizes.union(spark.range(1).select(F.lit(start).alias("a"), F.lit(texts).cast("long").alias("size")))
+    share = (F.col("n") + F.col("rest") * F.col("parent")) / (F.col("size") + PRIOR)
+    back = F.log10(F.col("rest") / (F.col("size") + PRIOR))
+    own = F.when(F.col("retained"), share).otherwise(F.col("parent"))
+    over = F.when(F.col("retained"), F.log10(share / F.col("parent")) - back).otherwise(0.0)
+
+    counted = stored("counted2", count_runs(train, 2, None, text_col))
+    roots = table.select(F.col("key").alias("b"), ((F.col("n") + 0.5) / F.lit(floor)).alias("parent"), F.col("n").alias("m"))
+    rooted = stored("rooted", _joined(counted, roots, "b", F.col("m") >= hot).drop("m"))
+    one = stored("contexts1", _contexts(rooted, sizes, "a", whole.n))
+    pairs = stored("pairs", _joined(rooted, one, "a", F.col("size") >= hot).select("a", "b", "n", "key", own.alias("p"), over.alias("over")))
+
+    counted = stored("counted3", count_runs(train, 3, _filter(counted), text_col))
+    below = pairs.select(F.col("key").alias("tail"), F.col("p").alias("parent"), F.col("n").alias("m"))
+    rooted = stored("rooted3", _joined(counted, below, "tail", F.col("m") >= hot).select("head", "c", "n", "key", "parent"))
+    two = stored("contexts2", _contexts(rooted, pairs.select(F.col("key").alias("head"), F.col("n").alias("size")), "head", whole.n))
+    triples = stored("triples", _joined(rooted, two, "head", F.col("size") >= hot).select("head", "c", "n", "key", over.alias("over")))
+
+    kept = F.col("retained")
+    rare = table.where(F.col("n") < least).join(one.where(kept).select(F.col("a").alias("key"), back.alias("back")), "key", "left")
+    apart = pairs.where(F.col("n") < enough).join(two.where(kept).select(F.col("head").alias("key"), back.alias("back")), "key", "left")
+    lone = apart.select("key", (F.col("over") + F.coalesce("back", F.lit(0.0))).alias("value")).union(triples.where(F.col("n") < enough).select("key", F.col("over").alias("value")))
+    lone = stored("added", lone.where("value != 0"))
+    added = rare.select("key", "n", F.coalesce("back", F.lit(0.0)).alias("value")).union(lone.select("key", F.lit(None).cast("long"), "value"))
+
+    tree = Tree([*names, START_WORD], np.append((n + 0.5) / floor, 1.0), [])
+    by_hash = _hashes(tree.words)
+    order = np.argsort(by_hash)
+
+    def number(column) -> np.ndarray:
+        return order[np.searchsorted(by_hash, _unsigned(column), sorter=order)]
+
+    def level(code, m, size, at, contexts) -> Level:
+        rest, retained = size + PRIOR, np.zeros(len(size), dtype=bool)
+        rest[at], retained[at] = (contexts.column(c).to_numpy() for c in ("rest", "retained"))
+        by = np.argsort(code)
+        return Level(code[by], m[by].astype(float), size, rest, retained)
+
+    held = one.join(F.broadcast(spark.createDataFrame([(x,) for x in by_hash.view(np.int64).tolist()], "a long")), "a").select("a", "rest", "retained").toArrow()
+    near = pairs.where(F.col("n") >= enough).select("a", "b", "n", "key").toArrow()
+    size = np.append(np.where(np.array([w == END_WORD for w in names], dtype=bool), 0, n), texts).astype(float) if names else np.array([float(texts)])
+    code = (number(near.column("a")) << BITS) | number(near.column("b"))
+    m = near.column("n").to_numpy()
+    tree.levels.append(level(code, m, size, number(held.column("a")), held))
+
+    by = np.argsort(code)
+    key = _unsigned(near.column("key"))[by]
+    by_key = np.argsort(key)
+
+    def place_of(column) -> np.ndarray:
+        return by_key[np.searchsorted(key, _unsigned(column), sorter=by_key)]
+
+    held = two.where(F.col("size") >= enough).select("head", "rest", "retained").toArrow()
+    far = triples.where(F.col("n") >= enough).select("head", "c", "n").toArrow()
+    code = (place_of(far.column("head")) << BITS) | number(far.column("c"))
+    tree.levels.append(level(code, far.column("n").to_numpy(), tree.levels[0].n.copy(), place_of(held.column("head")), held))
+    return Model(pickle.dumps(tree), whole.n, whole.v, least, table, added, pickle.dumps(_filter(lone)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,11 +425,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     A null text is empty and has the end token alone.  Repeated rows give a row
     each, null ids are kept, an empty table gives an empty result.
     """
-    packed = model.packed
+    packed, passed = model.packed, model.filter
     floor = model.tokens + 0.5 * (model.vocabulary + 1)
 
     def batches(it):
-        tree = _unpacked(packed)
+        tree, joined = _unpacked(packed), _unpacked(passed)
         base_log = np.log10(tree.root)
         for b in _sliced(it):
             texts, done = _lowered(b.column("text")), 0
@@ -293,43 +444,45 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 sums = [np.add.reduceat(x, first) for x in (base, value, common.astype(np.int64))]
                 missing = ~common
                 missing[first] = False
-                place = np.flatnonzero(missing)
-                owner = np.searchsorted(first, place, side="right") - 1
-                rare = Counter(zip(owner.tolist(), (tokens[o][p - f - 1] for o, p, f in zip(owner.tolist(), place.tolist(), first[owner].tolist()))))
-                m, k = len(chunk), len(rare)
+                key, pair, triple = _keys(tokens, first)
+                places = [np.flatnonzero(missing), *(np.flatnonzero(joined.has(x)) for x in (pair, triple))]
+                wanted = np.concatenate([x[p] for x, p in zip((key, pair, triple), places)])
+                owner = np.searchsorted(first, np.concatenate(places), side="right") - 1
+                _, at, times = np.unique(_pair(wanted, owner.astype(np.uint64)), return_index=True, return_counts=True)
+                m, k = len(chunk), len(at)
                 rows, ids = b.column("row").slice(done, m), b.column("id").slice(done, m)
                 done += m
-                index = pa.array(list(range(m)) + [o for o, _ in rare], pa.int64())
-                # a row's own line has a key that is no word and spreads the lines evenly
-                own = [b" " + str(r).encode() for r in rows.to_pylist()]
-                nothing = [None] * k
+                index = pa.array(np.concatenate([np.arange(m), owner[at]]), pa.int64())
+                # a row's own line has an even key, which no word has, and spreads the lines evenly
+                own = rows.to_numpy().view(np.uint64) << np.uint64(1)
+                nothing = lambda x: pa.concat_arrays([x, pa.nulls(k, x.type)])
                 yield pa.record_batch(
                     [
                         rows.take(index),
                         pa.concat_arrays([ids, pa.nulls(k, ids.type)]),
-                        pa.array(own + [w for _, w in rare], pa.binary()),
-                        pa.array([0] * m + list(rare.values()), pa.int64()),
-                        pa.array([len(t) for t in tokens] + nothing, pa.int64()),
-                        pa.array(sums[2].tolist() + nothing, pa.int64()),
-                        pa.array(sums[0].tolist() + nothing, pa.float64()),
-                        pa.array(sums[1].tolist() + nothing, pa.float64()),
+                        _signed(np.concatenate([own, wanted[at]])),
+                        pa.array(np.concatenate([np.zeros(m, dtype=np.int64), times])),
+                        pa.array(np.concatenate([np.zeros(m, dtype=bool), at < len(places[0])])),
+                        nothing(pa.array([len(t) for t in tokens], pa.int64())),
+                        nothing(pa.array(sums[2])),
+                        nothing(pa.array(sums[0])),
+                        nothing(pa.array(sums[1])),
                     ],
-                    names=["row", "id", "word", "times", "tokens", "known", "base", "score"],
+                    names=["row", "id", "key", "times", "word", "tokens", "known", "base", "score"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = own_columns(docs, id=id_col, text=text_col).select(F.monotonically_increasing_id().alias("row"), "id", "text")
-    lines = rows.mapInArrow(batches, f"row long, id {kind}, word binary, times long, tokens long, known long, base double, score double")
-    rare = model.table.where(F.col("n") < model.least)
+    lines = rows.mapInArrow(batches, f"row long, id {kind}, key long, times long, word boolean, tokens long, known long, base double, score double")
     n = F.coalesce(F.col("n"), F.lit(0))
-    root = F.col("times") * F.log10((n + 0.5) / F.lit(floor))
-    known = lines.join(rare, "word", "left").select(
+    root = F.when(F.col("word"), F.col("times") * F.log10((n + 0.5) / F.lit(floor))).otherwise(0.0)
+    known = lines.join(model.added, "key", "left").select(
         "row",
         "id",
         "tokens",
         F.coalesce("known", F.when(n > 0, F.col("times")).otherwise(0)).alias("known"),
         F.coalesce("base", root).alias("base"),
-        F.coalesce("score", root).alias("score"),
+        F.coalesce("score", root + F.col("times") * F.coalesce("value", F.lit(0.0))).alias("score"),
     )
     summed = known.groupBy("row").agg(F.max("id").alias("id"), F.max("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return summed.select("id", "n_tokens", "n_known", "base_score", "score")

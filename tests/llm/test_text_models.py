@@ -129,3 +129,17 @@ def test_toxicity_learns_words(spark):
     empty = toxicity.fit(docs, known.where(F.lit(False)))
     assert {r.score for r in toxicity.score(docs, empty).collect()} == {0.0}
     assert toxicity.score(docs.where(F.lit(False)), model).count() == 0
+
+
+def test_lm_scores_do_not_depend_on_what_the_tree_holds(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id % 4 = 0")
+    whole = {r.id: r for r in lm.score(docs, lm.fit(docs, lm.learnable())).collect()}
+    monkeypatch.setattr(lm, "WORD_SHARE", 2e-3)
+    monkeypatch.setattr(lm, "PAIR_SHARE", 2e-3)
+    model = lm.fit(docs, lm.learnable())
+    got = {r.id: r for r in lm.score(docs, model).collect()}
+    assert len(lm.pickle.loads(model.packed).levels[0].n) < 500
+    for i, r in whole.items():
+        assert (got[i].n_tokens, got[i].n_known) == (r.n_tokens, r.n_known)
+        assert got[i].base_score == pytest.approx(r.base_score) and got[i].score == pytest.approx(r.score)
+    assert any(abs(r.score - r.base_score) > 1 for r in whole.values())
