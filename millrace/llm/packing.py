@@ -7,14 +7,20 @@ of them cut where the window ends; what it has left stays unused for later
 windows.  The end of a shard, where no neighbour is left, is cut into sequences
 whose lengths are powers of two, so that nothing is padded.
 
-A shard is a run of up to SHARD_DOCS rows of one input partition: nothing is
-shuffled, memory is bounded by a shard, and a lost task is run again from its
-own rows.
+Documents are dealt to shards by content.  Each has its terms of most BM25 weight
+as key, with document frequencies of the whole table, and the table is sorted by
+these keys over all its partitions.  A shard is a run of up to SHARD_DOCS rows of
+that order, so copies and documents of the same leading terms meet wherever they
+were in the input, and a key of more documents is split by the terms that follow.
+Memory is bounded by a shard.  A neighbour of other leading terms may be in another
+shard and is not found then.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -23,12 +29,15 @@ import public_tokenizers
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import own_columns
+from .common import ensure_checkpoint_dir, own_columns
 
 WINDOW = 1024
 SHARD_DOCS = 512
 END_ID = 0
+#: Leading terms by which documents are sorted.
+KEYS = 4
 #: BM25's saturation and length weight.
 K1, B = 1.2, 0.75
 
@@ -57,10 +66,35 @@ def token_ids(text: str | None, path: str) -> np.ndarray:
     return np.append(ids.astype("<u4"), np.uint32(END_ID)).astype("<u4")
 
 
+@dataclass
+class Statistics:
+    """Of the rests of a table's documents: how many there are, their mean length, and by id how many hold it."""
+
+    docs: int
+    mean: float
+    df: np.ndarray
+
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        df = self.df[terms]
+        return np.log1p((self.docs - df + 0.5) / (df + 0.5))
+
+    def leading(self, rest: np.ndarray) -> list[int]:
+        """The KEYS terms of most weight that some other document holds too, -1 where there are fewer."""
+        terms, tf = np.unique(rest, return_counts=True)
+        shared = self.df[terms] > 1
+        terms, tf = terms[shared], tf[shared]
+        weight = self.idf(terms) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(rest) / self.mean))
+        best = terms[np.lexsort((terms, -weight))[:KEYS]].tolist()
+        return best + [-1] * (KEYS - len(best))
+
+
 class Index:
-    """BM25 over the rests of one shard's documents: postings by term, weights computed once."""
+    """BM25 over the rests of one shard's documents: postings by term, weights computed once.
+
+    whole is the table's statistics; without it the shard's own count.
+    """
 
-    def __init__(self, rests: list[np.ndarray]):
+    def __init__(self, rests: list[np.ndarray], whole: Statistics | None = None):
         n = self.n = len(rests)
         sizes = np.array([len(r) for r in rests], dtype=np.int64)
         pair = np.concatenate([r.astype(np.int64) for r in rests]) * n + np.repeat(np.arange(n), sizes)
@@ -68,8 +102,8 @@ class Index:
         term, self.doc = pair // n, pair % n
         self.terms, first, df = np.unique(term, return_index=True, return_counts=True)
         self.bounds = np.append(first, len(term))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * sizes / sizes.mean())
+        idf = whole.idf(self.terms) if whole else np.log1p((n - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * sizes / (whole.mean if whole else sizes.mean()))
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
         by_doc = np.argsort(self.doc, kind="stable")
         self.of_doc = np.split(np.repeat(np.arange(len(self.terms)), df)[by_doc], np.cumsum(np.bincount(self.doc, minlength=n))[:-1])
@@ -82,18 +116,18 @@ class Index:
         return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
 
 
-def pack_shard(ids: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+def pack_shard(ids: list[np.ndarray], window: int = WINDOW, whole: Statistics | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of (document, start, length) that hold each id once; all are full but for powers of two at the end."""
     out: list[list[tuple[int, int, int]]] = []
     at = []
     for k, x in enumerate(ids):
-        whole = len(x) // window * window
-        out += [[(k, s, window)] for s in range(0, whole, window)]
-        at.append(whole)
+        full = len(x) // window * window
+        out += [[(k, s, window)] for s in range(0, full, window)]
+        at.append(full)
     docs = [k for k, x in enumerate(ids) if at[k] < len(x)]
     if not docs:
         return out
-    index = Index([ids[k][at[k] :] for k in docs])
+    index = Index([ids[k][at[k] :] for k in docs], whole)
     unused = np.ones(len(docs), dtype=bool)
     last: list[tuple[int, int, int]] = []
     for seed in sorted(range(len(docs)), key=lambda i: (at[docs[i]] - len(ids[docs[i]]), i)):
@@ -144,33 +178,97 @@ def pack(docs: DataFrame, vocabulary: str = _VOCABULARY, id_col: str = "doc_id",
     long or, at a shard's end, a smaller power of two.
     """
     path_of = vocabulary
+    kind = docs.schema[id_col].dataType.simpleString()
+    spark = docs.sparkSession
 
-    def batches(it):
+    def tokenised(it):
         path = public_tokenizers.path(path_of) if "/" not in path_of else path_of
-        part = TaskContext.get().partitionId() << _SEQUENCE_BITS
-        done = 0
         for b in it:
             for lo in range(0, b.num_rows, shard_docs):
                 rows = b.slice(lo, shard_docs)
-                ids = [token_ids(t, path) for t in rows.column("text").to_pylist()]
-                if not ids:
-                    continue
-                doc, start, length, seq, offset, data = [], [], [], [], [], []
-                for n, sequence in enumerate(pack_shard(ids, window)):
-                    place = 0
-                    for k, s, m in sequence:
-                        doc.append(k)
-                        start.append(s)
-                        length.append(m)
-                        seq.append(part + done + n)
-                        offset.append(place)
-                        data.append(ids[k][s : s + m].tobytes())
-                        place += m
-                done = seq[-1] - part + 1
-                total = np.array([len(x) for x in ids], dtype=np.int64)[doc]
-                columns = [rows.column("id").take(pa.array(doc)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(data, pa.binary())]
-                columns += [pa.array(total), pa.array(seq, pa.int64()), pa.array(offset, pa.int64())]
-                yield pa.record_batch(columns, names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+                data = [token_ids(t, path).tobytes() for t in rows.column("text").to_pylist()]
+                yield pa.record_batch([rows.column("id"), pa.array(data, pa.binary())], names=["id", "ids"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return own_columns(docs, id=id_col, text=text_col).mapInArrow(batches, PIECES.format(kind=kind))
+    place = f"{ensure_checkpoint_dir(spark)}/packing-{uuid.uuid4().hex}"
+    own_columns(docs, id=id_col, text=text_col).mapInArrow(tokenised, f"id {kind}, ids binary").write.parquet(place)
+    rows = spark.read.parquet(place)
+    whole = statistics(rows, window)
+
+    def keyed(it):
+        for b in it:
+            keys = np.array([whole.leading(_rest(x, window)) for x in b.column("ids").to_pylist()], dtype=np.int64).reshape(-1, KEYS)
+            yield pa.record_batch([*b.columns, *(pa.array(keys[:, k]) for k in range(KEYS))], names=["id", "ids", *names])
+
+    names = [f"k{k}" for k in range(KEYS)]
+    order = [*names, F.xxhash64("ids"), F.xxhash64(F.col("id").cast("string"))]
+    dealt = rows.mapInArrow(keyed, f"id {kind}, ids binary, " + ", ".join(f"{k} long" for k in names))
+    dealt = dealt.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "ids")
+
+    def batches(it):
+        part = TaskContext.get().partitionId() << _SEQUENCE_BITS
+        done = 0
+        for rows in _runs(it, shard_docs):
+            ids = [np.frombuffer(x, dtype="<u4") for x in rows.column("ids").to_pylist()]
+            doc, start, length, seq, offset, data = [], [], [], [], [], []
+            for n, sequence in enumerate(pack_shard(ids, window, whole)):
+                place = 0
+                for k, s, m in sequence:
+                    doc.append(k)
+                    start.append(s)
+                    length.append(m)
+                    seq.append(part + done + n)
+                    offset.append(place)
+                    data.append(ids[k][s : s + m].tobytes())
+                    place += m
+            done = seq[-1] - part + 1
+            total = np.array([len(x) for x in ids], dtype=np.int64)[doc]
+            columns = [rows.column("id").take(pa.array(doc)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(data, pa.binary())]
+            columns += [pa.array(total), pa.array(seq, pa.int64()), pa.array(offset, pa.int64())]
+            yield pa.record_batch(columns, names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+
+    return dealt.mapInArrow(batches, PIECES.format(kind=kind))
+
+
+def _rest(data: bytes, window: int) -> np.ndarray:
+    """What a document's whole windows leave of its ids."""
+    ids = np.frombuffer(data, dtype="<u4")
+    return ids[len(ids) // window * window :]
+
+
+def _runs(batches, size: int):
+    """The rows of all batches in runs of size, the last one shorter."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            held.append(b.slice(at, size - sum(x.num_rows for x in held)))
+            at += held[-1].num_rows
+            if sum(x.num_rows for x in held) == size:
+                yield pa.concat_batches(held)
+                held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def statistics(rows: DataFrame, window: int = WINDOW) -> Statistics:
+    """Over all rows of (ids binary); bounded by the vocabulary."""
+
+    def counted(it):
+        df = np.zeros(0, dtype=np.int64)
+        docs = size = 0
+        for b in it:
+            rests = [r for r in (_rest(x, window) for x in b.column("ids").to_pylist()) if len(r)]
+            docs, size = docs + len(rests), size + sum(map(len, rests))
+            seen = np.bincount(np.concatenate([np.unique(r) for r in rests])) if rests else df[:0]
+            if len(seen) > len(df):
+                df, seen = seen, df
+            df[: len(seen)] += seen
+        held = np.flatnonzero(df)
+        yield pa.record_batch([pa.array(np.append(held, [-1, -2])), pa.array(np.append(df[held], [docs, size]))], names=["term", "n"])
+
+    got = rows.select("ids").mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    n = dict(zip(*(c.to_pylist() for c in got.columns)))
+    docs, size = n.pop(-1, 0), n.pop(-2, 0)
+    df = np.zeros(max(n, default=0) + 1, dtype=np.int64)
+    df[list(n)] = list(n.values())
+    return Statistics(docs, size / docs if docs else 1.0, df)

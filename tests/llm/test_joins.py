@@ -163,3 +163,18 @@ def test_nearest_equals_brute_force_with_ties_and_bad_rows(spark, monkeypatch):
 
 def test_chi_square_quantile():
     assert ann.chi_square_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3)
+
+
+def test_packing_finds_neighbours_in_other_partitions(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(rng.choice(words, 30)) for _ in range(64)]
+    # both copies of a text are 64 rows apart, in other partitions and shards
+    docs = spark.createDataFrame([(k, texts[k % 64]) for k in range(128)], "doc_id long, text string").repartitionByRange(4, "doc_id")
+    size = packing.pack(docs, shard_docs=16).agg(F.max("doc_tokens")).first()[0]
+    rows = packing.pack(docs, shard_docs=16, window=4 * size).collect()
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.doc_id, set()).add(r.sequence_id)
+    together = sum(bool(sequences[k] & sequences[k + 64]) for k in range(64))
+    assert together >= 48
