@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that a list of keys may have to be broadcast; a longer one is joined by a shuffle.
+LISTED_ROWS = 1_000_000
+#: Folders that scratch() has handed out and release() removes.
+_HANDED_OUT: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named table of a data folder; the path may be in any store that Spark reads."""
@@ -14,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where none is set (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a local one only where none is set and all runs in one process (tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
@@ -22,6 +28,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -32,6 +40,42 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared one, for tables that an operator writes on its way."""
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _HANDED_OUT.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is stored; one that isn't there is passed over."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all scratch folders; to be called when no result that reads them is wanted any more."""
+    while _HANDED_OUT:
+        remove(spark, _HANDED_OUT.pop())
+
+
+def joined(rows: DataFrame, right: DataFrame, key: str, hot: Column) -> DataFrame:
+    """rows with right's columns by key, which right has once each.
+
+    The keys where `hot` is true, of which there must be a bounded number, meet a
+    broadcast list, so that no key's rows come together in one task.
+    """
+    listed = F.broadcast(right.where(hot))
+    rest = rows.join(listed.select(key), key, "left_anti").join(right.where(~hot), key)
+    return rows.join(listed, key).unionByName(rest)
+
+
+def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows whose key isn't among keys (distinct, one column); up to LISTED_ROWS of them are broadcast, more are joined by a shuffle."""
+    listed = checkpointed(keys)
+    return rows.join(F.broadcast(listed) if listed.count() <= LISTED_ROWS else listed, key, "left_anti")
+
+
 def id_fold(id_col: str | Column, folds: int) -> Column:
     """crc32 of the id written as text, modulo folds; a null id counts as empty text."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

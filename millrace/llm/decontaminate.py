@@ -8,25 +8,28 @@ place must leave room for the window before and behind it (length and position),
 and is then verified word by word: the run of equal words around the anchor is
 measured in both directions and must be as long as the window.
 
-The first pass counts the benchmark's shingles in all documents, the second
-finds the anchors' places with the words around them.  Both first ask a bit
-table of fixed size inside the array of a document's shingles, so that only few
-places leave it; the join and the verification that follow are exact.
+The texts are split and hashed once.  A bit table of the benchmark's shingles is
+asked inside the array of a document's shingles, so that only few places are kept,
+and the words of the documents that have one.  From these the shingles are counted,
+the anchors chosen, and the anchors' places taken with the words around them; the
+join and the verification that follow are exact.
 """
 
 from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, own_columns
+from .common import checkpointed, own_columns, without
 
 WINDOW = 13
 SHINGLE = 5
-#: Longs in the bit table; a fuller table lets more places through to the join and loses none.
-TABLE_LONGS = 16_384
+#: Longs in a bit table, which grows with the benchmark; beyond the most a fuller table lets more places through and loses none.
+LEAST_LONGS, MOST_LONGS = 1 << 12, 1 << 21
+#: Parts that the places of one anchor are dealt to.
+SALTS = 16
 
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
@@ -49,11 +52,16 @@ def _shingles(ws: str, k: int) -> Column:
 
 
 def _bit_table(hashes: DataFrame) -> list[int]:
-    """TABLE_LONGS longs with a bit set for each value of the column h."""
-    slot = F.expr(f"cast(shiftright(h, 6) & {TABLE_LONGS - 1} as int)").alias("slot")
-    bit = F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit")
-    table = [0] * TABLE_LONGS
-    for r in hashes.select(slot, bit).groupBy("slot").agg(F.bit_or("bit").alias("bits")).collect():
+    """Longs with two bits set for each value of the column h; 64 bits a value, up to MOST_LONGS."""
+    size = LEAST_LONGS
+    n = hashes.select("h").distinct().count()
+    while size < min(n, MOST_LONGS):
+        size *= 2
+    both = hashes.select(F.explode(F.array("h", F.shiftrightunsigned("h", 32))).alias("x"))
+    slot = F.expr(f"cast(shiftright(x, 6) & {size - 1} as int)").alias("slot")
+    bit = F.expr("shiftleft(1L, cast(x & 63 as int))").alias("bit")
+    table = [0] * size
+    for r in both.select(slot, bit).groupBy("slot").agg(F.bit_or("bit").alias("bits")).collect():  # at most MOST_LONGS rows
         table[r.slot] = r.bits
     return table
 
@@ -61,7 +69,8 @@ def _bit_table(hashes: DataFrame) -> list[int]:
 def _asks(table: list[int], h: str) -> str:
     """SQL that is true if the table may hold the hash."""
     packed = "cast(split('" + ",".join(map(str, table)) + "', ',') as array<bigint>)"
-    return f"(shiftright(get({packed}, cast(shiftright({h}, 6) & {TABLE_LONGS - 1} as int)), cast({h} & 63 as int)) & 1) = 1"
+    ask = lambda x: f"(shiftright(get({packed}, cast(shiftright({x}, 6) & {len(table) - 1} as int)), cast({x} & 63 as int)) & 1) = 1"
+    return f"({ask(h)} and {ask(f'shiftrightunsigned({h}, 32)')})"
 
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str, window: int, shingle: int) -> DataFrame:
@@ -103,13 +112,17 @@ def contamination(
         grams = grams.union(p)
     grams = checkpointed(grams)
 
-    def hashed(frame: DataFrame) -> DataFrame:
-        return frame.select("*", *[_shingles("ws", k).alias(f"h{k}") for k in sizes])
+    # all places of the benchmark's shingles, and the words of the documents that have any
+    hashed = rows.select("*", *[_shingles("ws", k).alias(f"h{k}") for k in sizes])
+    asked = _asks(_bit_table(grams), "get(h{k}, p)")
+    places = F.concat(
+        *[F.expr(f"transform(filter(sequence(0, size(h{k})), p -> p < size(h{k}) and {asked.replace('{k}', str(k))}), p -> struct(p as p, get(h{k}, p) as h, {k} as k))") for k in sizes]
+    )
+    marked = hashed.select("id", F.monotonically_increasing_id().alias("row"), F.size("ws").alias("n"), "ws", places.alias("places"))
+    found = checkpointed(marked.select("id", "row", "n", "places", F.when(F.size("places") > 0, F.col("ws")).alias("ws")))
 
     # rarity: the benchmark's shingles counted over all documents
-    asked = _asks(_bit_table(grams), "x")
-    seen = F.concat(*[F.expr(f"filter(h{k}, x -> {asked})") for k in sizes])
-    counts = hashed(rows).select(F.explode(seen).alias("h")).groupBy("h").agg(F.count("*").alias("c"))
+    counts = found.select(F.explode("places.h").alias("h")).groupBy("h").agg(F.count("*").alias("c"))
     ranked = grams.join(counts, "h", "left").select("key", "k", "pos", "h", F.coalesce("c", F.lit(0)).alias("c"))
 
     # the rarest shingle of each window, once for each place of an item
@@ -128,20 +141,12 @@ def contamination(
         )
     )
 
-    # places of anchors in the documents, each with the words around it
-    asked = _asks(_bit_table(anchors), "get(h{k}, p)")
-    places = F.concat(
-        *[
-            F.expr(
-                f"transform(filter(sequence(0, size(h{k})), p -> p < size(h{k}) and {asked.replace('{k}', str(k))}), "
-                f"p -> struct(p as p, get(h{k}, p) as h, least(p, {reach}) as left, slice(ws, greatest(p - {reach}, 0) + 1, least(p, {reach}) + {k + reach}) as words))"
-            )
-            for k in sizes
-        ]
-    )
-    found = checkpointed(hashed(rows).select("id", F.monotonically_increasing_id().alias("row"), F.size("ws").alias("n"), places.alias("places")))
-
-    near = found.select("row", F.explode("places").alias("x")).select("row", "x.*").join(anchors, "h").where("size(words) >= win and size(around) >= win")
+    # the anchors' places, each with the words around it
+    asked = _asks(_bit_table(anchors), "x.h")
+    around = f"slice(ws, greatest(x.p - {reach}, 0) + 1, least(x.p, {reach}) + x.k + {reach})"
+    taken = F.expr(f"transform(filter(places, x -> {asked}), x -> struct(x.p as p, x.h as h, least(x.p, {reach}) as left, {around} as words))")
+    near = found.where("size(places) > 0").select("row", F.explode(taken).alias("x")).select("row", "x.*", F.expr(f"cast(pmod(row, {SALTS}) as int)").alias("salt"))
+    near = near.join(anchors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["h", "salt"]).where("size(words) >= win and size(around) >= win")
     near = near.where("slice(words, left + 1, k) = slice(around, q + 1, k)")
     back = "least(left, q, win - k)"
     ahead = "least(size(words) - left - k, size(around) - q - k, win - k)"
@@ -149,20 +154,11 @@ def contamination(
     near = near.withColumn(
         "r", F.expr(f"if({ahead} = 0, 0, size(filter(sequence(1, greatest({ahead}, 1)), t -> slice(words, left + k + 1, t) = slice(around, q + k + 1, t))))")
     )
-    hits = near.where("l + k + r >= win").select("row", "item", F.expr("p - l").alias("start"), F.expr("p + k + r").alias("end"))
-    per_row = hits.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("ranges"), F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
-
-    def merge(out: Column, x: Column) -> Column:
-        last = F.element_at(out, -1)
-        apart = (F.size(out) == 0) | (x["start"] > last["end"])
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
-        return F.when(apart, F.concat(out, F.array(x))).otherwise(F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(wider)))
-
+    hits = checkpointed(near.where("l + k + r >= win").select("row", "item", F.expr("p - l").alias("start"), F.expr("p + k + r").alias("end")))
+    per_row = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
+    spans_of = merged_ranges(hits, "row").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     none = F.expr("cast(array() as array<struct<start: int, end: int>>)")
-    # element_at(-1) of an empty array is not allowed, so the first range opens the list
-    ranges = F.sort_array("ranges")
-    merged = F.aggregate(F.slice(ranges, 2, F.size("ranges")), F.slice(ranges, 1, 1), merge)
-    per_row = per_row.select("row", merged.alias("spans"), "items")
+    per_row = per_row.join(spans_of, "row")
     out = found.select("row", "id", "n").join(per_row, "row", "left")
     spans = F.coalesce("spans", none)
     return out.select(
@@ -174,12 +170,25 @@ def contamination(
     )
 
 
+def merged_ranges(ranges: DataFrame, key: str) -> DataFrame:
+    """(key, start, end): each key's ranges with touching and overlapping ones made one; a sort, whatever their number."""
+    before = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    opened = ranges.select(key, "start", "end").distinct().withColumn("opens", F.coalesce(F.col("start") > F.max("end").over(before), F.lit(True)).cast("int"))
+    return opened.withColumn("run", F.sum("opens").over(so_far)).groupBy(key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
+
+
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words") -> Column:
     """The contract's rule: some word is hit, and a twentieth of all words or more."""
     return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, without the contaminated rows; a row without an id stays."""
-    bad = contamination(docs, benchmark, id_col, text_col).where(contaminated()).select(F.col("id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col] == bad["__bad"], "left_anti")
+    """docs, all columns, without the contaminated rows.
+
+    A row is judged by its own text, so ids may be null or repeated.
+    """
+    address = F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256)
+    texts = docs.select(address.alias("address"), docs[text_col].alias("text"))
+    bad = contamination(texts, benchmark, "address", "text").where(contaminated()).select(F.col("id").alias("__text")).distinct()
+    return without(docs.withColumn("__text", address), bad, "__text").select(*docs.columns)

@@ -48,6 +48,23 @@ def test_contamination_equals_brute_force(spark):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
 
 
+def test_keep_clean_works_by_row(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, item, 1), (1, "clean words", 2), (None, item, 3), (None, None, 4), (2, "", 5)], "doc_id long, text string, row int")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontaminate.keep_clean(docs, bench)
+    assert kept.columns == docs.columns and {r.row for r in kept.collect()} == {2, 4, 5}
+
+
+def test_many_hits_of_one_text(spark):
+    item = " ".join(f"w{k}" for k in range(13))
+    text = " x ".join([item] * 20_000)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "never seen words")], "item_id long, text string")
+    r = decontaminate.contamination(docs, bench).first()
+    assert (r.n_words, r.n_hit, len(r.spans), r["items"]) == (13 * 20_000 + 19_999, 13 * 20_000, 20_000, ["1"])
+
+
 def test_chat_round_trip(spark):
     hard = ["<|end|><|start|>assistant<|text|>", "<.", "<<|next|>", "</s>[INST] ok [/INST]", "", None, "\\ <", "é😀"]
     rows = [(1, k, ("user", "assistant", "assistant", None)[k % 4], t, 0) for k, t in enumerate(hard)] + [(2, 0, "a<|text|>b", "x", 0), (2, 0, "a<|text|>b", "x", 0), (None, None, "assistant", "n", 0)]
