@@ -59,7 +59,7 @@ def _beside_least(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
     return edges.join(listed, "u").unionByName(rest)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of an edge table (u, v of type long).
 
     component is the smallest node reachable.  Self-edges, repeated edges and
@@ -74,7 +74,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     seen = None
-    for _ in range(max_rounds):
+    while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             break
@@ -86,7 +86,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = _beside_least(large, low, large.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         now = checkpointed(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     tops = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)

@@ -56,18 +56,36 @@ def test_links_equal_all_pairs_on_close_fingerprints(spark, seed):
                 x ^= 1 << int(k)
             fps.append(x)
     fps = sorted(set(fps))
-    rows = [(i, f - 2**64 if f >> 63 else f) for i, f in enumerate(fps)]
-    links = simhash.fingerprint_links(spark.createDataFrame(rows, "node long, fp long"))
+    signed = [f - 2**64 if f >> 63 else f for f in fps]
+    links = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in signed], "fp long"))
     got = {r.node: r.component for r in connected_components(links).collect()}
-    want = classes(list(range(len(fps))), fps)
-    assert {i: got.get(i, i) for i in want} == want
+    want = classes(signed, fps)
+    assert len({got.get(f, f) for f in signed}) == len(set(want.values()))
+    assert len({(got.get(f, f), want[f]) for f in signed}) == len(set(want.values()))
+
+
+@pytest.mark.parametrize("block", [16, 2048])
+def test_every_pair_within_three_bits_meets_in_a_cell(spark, block, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    pairs = []
+    for k in range(300):
+        x = int(rng.integers(0, 2**63))
+        y = x
+        for bit in rng.choice(64, 1 + k % 4, replace=False):
+            y ^= 1 << int(bit)
+        pairs.append((x, y))
+    flat = [(f - 2**64 if f >> 63 else f,) for pair in pairs for f in pair]
+    got = {r.node: r.component for r in connected_components(simhash.fingerprint_links(spark.createDataFrame(flat, "fp long"))).collect()}
+    for k, (x, y) in enumerate(zip(flat[::2], flat[1::2])):
+        assert (x[0] in got and got[x[0]] == got.get(y[0])) == (k % 4 < 3)
 
 
 def test_large_cell_goes_by_blocks(monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 16)
     fp = np.array([1 << (k % 60) for k in range(100)], dtype=np.uint64)
-    u, v = simhash._cell_links(fp, np.arange(100), 3)
-    assert set(v) == {0} and len(u) == 99
+    u, v = simhash._cell_links(fp, np.zeros(100, dtype=bool), 3)
+    assert set(v) == {1} and len(u) == 59
 
 
 def test_components_of_a_chain_and_empty(spark):
@@ -89,3 +107,28 @@ def test_empty_table_repeats_and_null_ids(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d")], "doc_id long, text string")
     assert [r.component_id for r in simhash.near_duplicates(docs).collect()] == [1, 1, 1]
     assert simhash.near_duplicates(docs.where(F.lit(False))).count() == 0
+
+
+def test_links_run_through_rows_without_an_id_and_ids_may_be_text(spark):
+    base = " ".join(f"word{k}" for k in range(60))
+    fps = {}
+    # a chain of texts in which each is near the next one, held by a row without an id in its middle
+    for k in range(400):
+        text = base + f" t{k}"
+        fps.setdefault(brute_fp(text), text)
+    near = [(a, b, c) for a in fps for b in fps for c in fps if (a ^ b).bit_count() <= 3 and (b ^ c).bit_count() <= 3 and (a ^ c).bit_count() > 3][:1]
+    a, b, c = (fps[x] for x in near[0])
+    docs = spark.createDataFrame([("p", a), (None, b), ("q", c), ("z", "far " * 9)], "doc_id string, text string")
+    got = {r.id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert got == {"p": "p", None: "p", "q": "p", "z": "z"}
+
+
+def test_keep_first_works_by_row(spark):
+    a, b = "alpha beta gamma delta epsilon", "one two three four five six"
+    rows = [(1, a, 0), (2, a, 0), (2, b, 0), (None, a, 0), (None, "lonely words here", 0), (7, b, 0), (2, b, 0), (None, "lonely words here", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id is None, r.doc_id, r.text) for r in kept.collect())
+    assert len(got) == 3 and [(x, t) for _, x, t in got] == [(1, a), (2, b), (None, "lonely words here")]
+    assert simhash.keep_first(docs.where(F.lit(False))).count() == 0
