@@ -5,11 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that a list of keys may have to be broadcast; a longer one is joined by a shuffle.
-LISTED_ROWS = 1_000_000
+LISTED_ROWS = 500_000
 #: Folders that scratch() has handed out and release() removes.
 _HANDED_OUT: list[str] = []
 
@@ -76,6 +76,16 @@ def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(listed) if listed.count() <= LISTED_ROWS else listed, key, "left_anti")
 
 
+def merged_ranges(ranges: DataFrame, key: str, touching: bool = True) -> DataFrame:
+    """(key, start, end): each key's ranges with overlapping ones, and touching ones where asked, made one; a sort, whatever their number."""
+    by = Window.partitionBy(key).orderBy("start", "end")
+    last = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.col("start") > last if touching else F.col("start") >= last
+    opened = ranges.select(key, "start", "end").distinct().withColumn("opens", F.coalesce(apart, F.lit(True)).cast("int"))
+    run = F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    return opened.withColumn("run", run).groupBy(key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
+
+
 def id_fold(id_col: str | Column, folds: int) -> Column:
     """crc32 of the id written as text, modulo folds; a null id counts as empty text."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

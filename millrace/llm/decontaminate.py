@@ -19,10 +19,10 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, own_columns, without
+from .common import checkpointed, merged_ranges, own_columns, without
 
 WINDOW = 13
 SHINGLE = 5
@@ -170,14 +170,6 @@ def contamination(
     )
 
 
-def merged_ranges(ranges: DataFrame, key: str) -> DataFrame:
-    """(key, start, end): each key's ranges with touching and overlapping ones made one; a sort, whatever their number."""
-    before = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    so_far = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
-    opened = ranges.select(key, "start", "end").distinct().withColumn("opens", F.coalesce(F.col("start") > F.max("end").over(before), F.lit(True)).cast("int"))
-    return opened.withColumn("run", F.sum("opens").over(so_far)).groupBy(key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
-
-
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words") -> Column:
     """The contract's rule: some word is hit, and a twentieth of all words or more."""
     return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))

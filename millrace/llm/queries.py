@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, decontaminate, langid, lm, oracles, packing, passages, secrets, simhash, toxicity
-from .common import checkpointed, id_fold, table
+from .common import id_fold, scratch, table
+
+#: Session setting: folder of the stored ledger of secret scans.
+LEDGER_PATH = "spark.millrace.secretLedger"
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger is the table that the setting names, which later calls go on with; without it, one of this call."""
     docs = table(spark, sf_dir, "documents")
-    found = secrets.findings(docs, checkpointed(secrets.scan(docs)))
+    ledger = secrets.Ledger(spark, spark.conf.get(LEDGER_PATH, None) or scratch(spark, "secret-ledger"))
+    found = secrets.findings(docs, ledger.update(docs))
     names = [r.kind for r in secrets.BASE_RULES]
     base = F.filter("spans", lambda s: s["kind"].isin(names))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -71,7 +76,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
     out = chat.format_conversations(said.unionByName(more)).withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("segments")))
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return out.select(

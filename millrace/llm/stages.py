@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, langid, packing, secrets, simhash
-from .common import checkpointed, table
+from .common import scratch, table
 
 #: Least score of a document's language; chance among the four languages of the tables is 0.25.
 LEAST_SCORE = 0.4
@@ -32,7 +32,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets in the texts; n_chars is that of the new text."""
-    out = secrets.redact(docs, checkpointed(secrets.scan(docs)))
+    ledger = secrets.Ledger(spark, scratch(spark, "secret-ledger"))
+    out = secrets.redact(docs, ledger.update(docs))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -66,3 +66,58 @@ def test_empty_table_and_repeats(spark):
     none = docs.where(F.lit(False))
     assert secrets.scan(none).count() == 0 and secrets.findings(none, secrets.scan(none)).count() == 0
     assert hashlib.sha256(b"").hexdigest() == docs.select(F.sha2(F.lit("").cast("binary"), 256)).first()[0]
+
+
+def test_a_stored_ledger_scans_new_blobs_only(spark, tmp_path):
+    stored = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    old, new = frame(spark, TEXTS[2:6]), frame(spark, TEXTS[2:5] + TEXTS[6:9])
+    pairs = lambda: stored.rows().groupBy("blob", "rule", "version").count()
+    assert stored.rows().count() == 0
+    stored.update(old)
+    assert pairs().count() == 4 * len(secrets.RULES)
+    # the second version of the table shares three blobs with the first and brings three
+    assert secrets.scan(new, stored.rows()).select("blob").distinct().count() == 3
+    stored.update(new)
+    stored.update(new)
+    assert pairs().count() == 7 * len(secrets.RULES) and pairs().where("count > 1").count() == 0
+    got = {r.id: named(r) for r in secrets.findings(new, stored.rows()).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(TEXTS[2:5] + TEXTS[6:9])}
+
+
+def test_the_query_goes_on_with_the_named_ledger(spark, tmp_path):
+    from millrace.llm import queries
+
+    frame(spark, TEXTS).drop("blob", "spans").write.parquet(str(tmp_path / "documents.parquet"))
+    plain = sorted(map(tuple, queries.op1_secret_scan(spark, str(tmp_path)).collect()))
+    spark.conf.set(queries.LEDGER_PATH, str(tmp_path / "ledger"))
+    try:
+        for _ in range(2):
+            assert sorted(map(tuple, queries.op1_secret_scan(spark, str(tmp_path)).collect())) == plain
+        texts = {t or "" for t in TEXTS}
+        assert spark.read.parquet(str(tmp_path / "ledger")).count() == len(texts) * len(secrets.RULES)
+    finally:
+        spark.conf.unset(queries.LEDGER_PATH)
+
+
+def test_joins_by_a_shuffle_give_the_same(spark, monkeypatch):
+    docs = frame(spark, TEXTS + TEXTS[5:6] * 40)
+    ledger = secrets.scan(docs)
+    rows = lambda d: sorted(map(str, d.collect()))
+    listed = rows(secrets.findings(docs, ledger)), rows(secrets.redact(docs, ledger))
+    monkeypatch.setattr(secrets, "LISTED_ROWS", -1)
+    for heavy in (3, 10_000):
+        monkeypatch.setattr(secrets, "HEAVY", heavy)
+        assert (rows(secrets.findings(docs, ledger)), rows(secrets.redact(docs, ledger))) == listed
+
+
+def test_many_hits_in_bounded_time(spark):
+    import time
+
+    n = 100_000
+    text = "é token:abcdefghijkl " * n + "a" * 1_000_000
+    docs = frame(spark, [text])
+    began = time.monotonic()
+    row = secrets.findings(docs, secrets.scan(docs)).first()
+    assert [(s.start, s.end) for s in row.spans if s.place == 0] == [(21 * k + 2, 21 * k + 20) for k in range(n)]
+    assert secrets.redact(docs, secrets.scan(docs)).first().text == "é [REDACTED] " * n + "[REDACTED]"
+    assert time.monotonic() - began < 120
