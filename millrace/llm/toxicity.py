@@ -20,11 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_fold, own_columns
+from .common import checkpointed, id_fold, own_columns
 
-#: Bounds: labelled rows that are learned from, and words of the lexicon.
+#: Bound: labelled rows that are learned from.
 SAMPLE_ROWS = 20_000
-LEXICON_WORDS = 2_000
 #: Least G statistic and least toxic documents of a lexicon word.
 LEAST_G, LEAST_DOCS = 25.0, 5
 #: Words between a hit and a second person that count as near.
@@ -40,7 +39,8 @@ LOOK_ALIKE = str.maketrans("013457@$!|", "oieastasil")
 FEATURES = ("hits", "weight", "variety", "near", "person", "capitals", "shouted", "exclaimed", "punctuation", "digits", "obfuscated", "disguised", "stretched", "length")
 
 _WORD = re.compile(r"[^\W\d_]+")
-_MIXED = re.compile(r"[^\W\d_]+[0-9@$!*|][0-9@$!*|.\-]*[^\W\d_]+")
+# A match begins where a run of letters does, and no part of it is tried again, so a run of any length is read once.
+_MIXED = re.compile(r"(?<![^\W\d_])[^\W\d_]++[0-9@$!*|][0-9@$!*|.\-]*+[^\W\d_]++")
 _SHOUT = re.compile(r"\b[A-Z]{3,}\b")
 _STRETCH = re.compile(r"([^\W\d_])\1\1")
 
@@ -110,7 +110,7 @@ def learn_lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int) ->
         g = 2 * (a * np.log(a / e) + (b * np.log(b / ((a + b) * (1 - share))) if b else 0.0))
         if g >= LEAST_G:
             kept.append((-g, word, float(np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1)))))
-    return {w: x for _, w, x in sorted(kept)[:LEXICON_WORDS] if x > 1}
+    return {w: x for _, w, x in sorted(kept) if x > 1}
 
 
 @dataclass
@@ -210,13 +210,16 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col
     """A model from the SAMPLE_ROWS usable labels of least hashed id.
 
     Rows without id, text or a label of 0 or 1 are left out; of repeated labels of
-    one id the larger counts.  Without both labels every score is the base rate.
+    one id the larger counts, and of its texts the smallest.  A quarter of the rows
+    calibrates; the lexicon and the trees are learned from the rest.  Without both
+    labels every score is the base rate.
     """
     own = own_columns(labels.where(usable) if usable is not None else labels, id=id_col, y=label_col)
     own = own.where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     picked = own.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(SAMPLE_ROWS)
     texts = own_columns(docs, id=id_col, text=text_col).where("text is not null")
-    rows = texts.join(F.broadcast(picked), "id").select("id", "text", "y")  # at most SAMPLE_ROWS rows
+    rows = texts.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("text").alias("text"))  # at most SAMPLE_ROWS rows
+    rows = checkpointed(rows.withColumn("held", F.crc32(F.concat(F.lit("held"), F.col("id").cast("string")).cast("binary")) % 4 == 0))
 
     def counted(it):
         for b in it:
@@ -227,20 +230,26 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col
                 zero = pa.array(np.zeros(len(seen), np.int64))
                 yield pa.record_batch([pa.array(list(seen), pa.string()), n if label else zero, zero if label else n], names=["word", "a", "b"])
 
-    totals = rows.mapInArrow(counted, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    # only words that may pass the test travel; the order bounds them
-    ranked = totals.where(f"word != '' and a >= {LEAST_DOCS} and a > b").orderBy(F.desc(F.expr("a - b")), "word").limit(10 * LEXICON_WORDS)
+    totals = rows.where("not held").mapInArrow(counted, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    totals = checkpointed(totals.where(f"word = '' or a >= {LEAST_DOCS}"))
     whole = totals.where("word = ''").first()
     toxic, clean = (whole.a, whole.b) if whole else (0, 0)
-    lexicon = learn_lexicon([(r.word, r.a, r.b) for r in ranked.collect()], toxic, clean) if toxic and clean else {}
+    lexicon: dict[str, float] = {}
+    if toxic and clean:
+        # all words that pass the test's two conditions travel: their number is bounded by the sample's texts
+        e = (F.col("a") + F.col("b")) * F.lit(toxic / (toxic + clean))
+        rest = (F.col("a") + F.col("b")) * F.lit(clean / (toxic + clean))
+        g = 2 * (F.col("a") * F.log(F.col("a") / e) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / rest)).otherwise(0.0))
+        passing = totals.where("word != ''").where((F.col("a") > e) & (g > LEAST_G - 1e-6))
+        lexicon = learn_lexicon([(r.word, r.a, r.b) for r in passing.collect()], toxic, clean)
 
     def measured(it):
         for b in it:
             x = features(b.column("text").to_pylist(), lexicon)
-            yield pa.record_batch([b.column("id"), b.column("y"), pa.array(x.tolist(), pa.list_(pa.float32()))], names=["id", "y", "x"])
+            yield pa.record_batch([b.column("id"), b.column("y"), b.column("held"), pa.array(x.tolist(), pa.list_(pa.float32()))], names=["id", "y", "held", "x"])
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    got = rows.select("id", "y", "text").mapInArrow(measured, f"id {types['id']}, y {types['y']}, x array<float>").withColumn("held", F.crc32(F.concat(F.lit("held"), F.col("id").cast("string")).cast("binary")) % 4 == 0)
+    got = rows.select("id", "y", "held", "text").mapInArrow(measured, f"id {types['id']}, y {types['y']}, held boolean, x array<float>")
     data = got.toPandas().sort_values(["id"], kind="stable")
     x = np.array(data["x"].tolist(), dtype=np.float64).reshape(len(data), len(FEATURES))
     return Model(lexicon, Boosted.fit(x, data["y"].to_numpy(dtype=np.float64), data["held"].to_numpy(dtype=bool)))

@@ -1,4 +1,5 @@
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -131,6 +132,43 @@ def test_toxicity_learns_words(spark):
     assert toxicity.score(docs.where(F.lit(False)), model).count() == 0
 
 
+def test_runs_of_letters_are_read_once():
+    import time
+
+    began = time.monotonic()
+    x = toxicity.features(["a" * 1_000_000, "a1" * 300_000, "v1lest l.0.l a1b2c x@ @y"], {"vilest": 2.0})
+    assert time.monotonic() - began < 30
+    assert x[0, toxicity.FEATURES.index("obfuscated")] == 0
+    plain = re.compile(r"[^\W\d_]+[0-9@$!*|][0-9@$!*|.\-]*[^\W\d_]+")
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        text = "".join(rng.choice(list("ab1@. -_é"), 30))
+        assert toxicity._MIXED.findall(text) == plain.findall(text)
+
+
+def test_no_word_that_passes_the_test_is_cut(spark):
+    # a word in 40 of 500 toxic and 60 of 9,500 clean documents, and 2,500 words that only toxic ones have
+    rows, labels = [], []
+    for i in range(10_000):
+        bad = i < 500
+        words = ["common", f"x{i}"]
+        words += ["telling"] if i < 40 or 500 <= i < 560 else []
+        words += [f"rare{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(2_500)] if i < 30 else []
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    lexicon = toxicity.fit(docs, known).lexicon
+    assert "telling" in lexicon and len(lexicon) == 2_501 and "common" not in lexicon
+
+
+def test_repeated_rows_of_a_sampled_id_are_one(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 2} here") for i in range(200)] * 5, "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    once = toxicity.fit(docs.distinct(), known)
+    again = toxicity.fit(docs, known)
+    assert again.lexicon == once.lexicon and again.trees.base == once.trees.base
+
+
 def test_lm_scores_do_not_depend_on_what_the_tree_holds(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id % 4 = 0")
     whole = {r.id: r for r in lm.score(docs, lm.fit(docs, lm.learnable())).collect()}
