@@ -19,7 +19,6 @@ shard and is not found then.
 from __future__ import annotations
 
 import base64
-import uuid
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -31,10 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, own_columns
+from .common import own_columns, scratch
 
 WINDOW = 1024
 SHARD_DOCS = 512
+#: Bytes of ids that a shard holds at most, but for its last document.
+SHARD_BYTES = 64 << 20
 END_ID = 0
 #: Leading terms by which documents are sorted.
 KEYS = 4
@@ -181,22 +182,26 @@ def pack(docs: DataFrame, vocabulary: str = _VOCABULARY, id_col: str = "doc_id",
     kind = docs.schema[id_col].dataType.simpleString()
     spark = docs.sparkSession
 
+    # ids travel in two bytes where the vocabulary allows, and leave in four
+    narrow = _size(public_tokenizers.path(vocabulary) if "/" not in vocabulary else vocabulary) <= 1 << 16
+    held = np.dtype("<u2" if narrow else "<u4")
+
     def tokenised(it):
         path = public_tokenizers.path(path_of) if "/" not in path_of else path_of
         for b in it:
             for lo in range(0, b.num_rows, shard_docs):
                 rows = b.slice(lo, shard_docs)
-                data = [token_ids(t, path).tobytes() for t in rows.column("text").to_pylist()]
+                data = [token_ids(t, path).astype(held).tobytes() for t in rows.column("text").to_pylist()]
                 yield pa.record_batch([rows.column("id"), pa.array(data, pa.binary())], names=["id", "ids"])
 
-    place = f"{ensure_checkpoint_dir(spark)}/packing-{uuid.uuid4().hex}"
+    place = scratch(spark, "packing")
     own_columns(docs, id=id_col, text=text_col).mapInArrow(tokenised, f"id {kind}, ids binary").write.parquet(place)
     rows = spark.read.parquet(place)
-    whole = statistics(rows, window)
+    whole = statistics(rows, window, held)
 
     def keyed(it):
         for b in it:
-            keys = np.array([whole.leading(_rest(x, window)) for x in b.column("ids").to_pylist()], dtype=np.int64).reshape(-1, KEYS)
+            keys = np.array([whole.leading(_rest(x, window, held)) for x in b.column("ids").to_pylist()], dtype=np.int64).reshape(-1, KEYS)
             yield pa.record_batch([*b.columns, *(pa.array(keys[:, k]) for k in range(KEYS))], names=["id", "ids", *names])
 
     names = [f"k{k}" for k in range(KEYS)]
@@ -208,7 +213,7 @@ def pack(docs: DataFrame, vocabulary: str = _VOCABULARY, id_col: str = "doc_id",
         part = TaskContext.get().partitionId() << _SEQUENCE_BITS
         done = 0
         for rows in _runs(it, shard_docs):
-            ids = [np.frombuffer(x, dtype="<u4") for x in rows.column("ids").to_pylist()]
+            ids = [np.frombuffer(x, dtype=held).astype("<u4") for x in rows.column("ids").to_pylist()]
             doc, start, length, seq, offset, data = [], [], [], [], [], []
             for n, sequence in enumerate(pack_shard(ids, window, whole)):
                 place = 0
@@ -229,35 +234,48 @@ def pack(docs: DataFrame, vocabulary: str = _VOCABULARY, id_col: str = "doc_id",
     return dealt.mapInArrow(batches, PIECES.format(kind=kind))
 
 
-def _rest(data: bytes, window: int) -> np.ndarray:
+def _size(path: str) -> int:
+    """One more than the greatest id of a vocabulary."""
+    enc = encoding(path)
+    return enc.max_token_value + 1
+
+
+def _rest(data: bytes, window: int, held: np.dtype) -> np.ndarray:
     """What a document's whole windows leave of its ids."""
-    ids = np.frombuffer(data, dtype="<u4")
+    ids = np.frombuffer(data, dtype=held)
     return ids[len(ids) // window * window :]
 
 
-def _runs(batches, size: int):
-    """The rows of all batches in runs of size, the last one shorter."""
-    held: list[pa.RecordBatch] = []
+def _runs(batches, size: int, room: int = SHARD_BYTES):
+    """The rows of all batches in runs of size, the last one shorter; a run ends early where its ids take `room` bytes."""
+    kept: list[pa.RecordBatch] = []
+    rows = taken = 0
     for b in batches:
+        ends = np.cumsum([len(x) for x in b.column("ids").to_pylist()])
         at = 0
         while at < b.num_rows:
-            held.append(b.slice(at, size - sum(x.num_rows for x in held)))
-            at += held[-1].num_rows
-            if sum(x.num_rows for x in held) == size:
-                yield pa.concat_batches(held)
-                held = []
-    if held:
-        yield pa.concat_batches(held)
-
-
-def statistics(rows: DataFrame, window: int = WINDOW) -> Statistics:
+            before = int(ends[at - 1]) if at else 0
+            fits = int(np.searchsorted(ends, before + room - taken, side="right")) - at
+            n = max(min(fits, size - rows), 0 if rows else 1)
+            if n:
+                kept.append(b.slice(at, n))
+                taken += int(ends[at + n - 1]) - before
+                rows, at = rows + n, at + n
+            if rows == size or (at < b.num_rows and n >= fits):
+                yield pa.concat_batches(kept)
+                kept, rows, taken = [], 0, 0
+    if kept:
+        yield pa.concat_batches(kept)
+
+
+def statistics(rows: DataFrame, window: int = WINDOW, dtype: np.dtype = np.dtype("<u4")) -> Statistics:
     """Over all rows of (ids binary); bounded by the vocabulary."""
 
     def counted(it):
         df = np.zeros(0, dtype=np.int64)
         docs = size = 0
         for b in it:
-            rests = [r for r in (_rest(x, window) for x in b.column("ids").to_pylist()) if len(r)]
+            rests = [r for r in (_rest(x, window, dtype) for x in b.column("ids").to_pylist()) if len(r)]
             docs, size = docs + len(rests), size + sum(map(len, rests))
             seen = np.bincount(np.concatenate([np.unique(r) for r in rests])) if rests else df[:0]
             if len(seen) > len(df):

@@ -101,6 +101,18 @@ def test_packing_covers_each_id_once(spark):
     assert packing.pack(docs.where(F.lit(False))).count() == 0
 
 
+def test_shards_end_at_rows_or_bytes():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(0, 40, 300).tolist() + [500, 1, 500]
+    rows = pa.record_batch([pa.array([b"x" * n for n in sizes]), pa.array(range(len(sizes)))], names=["ids", "k"])
+    cuts = [0, 1, 100, 250, 303]
+    runs = list(packing._runs([rows.slice(a, b - a) for a, b in zip(cuts, cuts[1:])], 16, 200))
+    assert [k for r in runs for k in r.column("k").to_pylist()] == list(range(len(sizes)))
+    assert all(r.num_rows <= 16 and (r.num_rows == 1 or sum(len(x) for x in r.column("ids").to_pylist()) <= 200) for r in runs)
+
+
 def test_packing_takes_the_best_neighbour():
     a, b, c = (np.array([k] * 400, dtype=np.uint32) for k in (5, 6, 5))
     first = packing.pack_shard([a, b, c])[0]
