@@ -11,13 +11,10 @@ from pyspark.sql import functions as F
 from . import decontaminate, langid, packing, secrets, simhash
 from .common import scratch, table
 
-#: Least score of a document's language; chance among the four languages of the tables is 0.25.
-LEAST_SCORE = 0.4
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what has no letter and what no language explains better than the others."""
-    return langid.keep_identified(docs, langid.fit(docs, langid.learnable()), LEAST_SCORE)
+    """Drop what has no letter and what no learned language explains."""
+    return langid.keep_identified(docs, langid.fit(docs, langid.learnable()))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,8 +38,7 @@ def test_stages_have_their_form(spark):
 def test_run_equals_brute_force(spark):
     docs = {r.doc_id: r.text or "" for r in table(spark, SF, "documents").collect()}
     parser = langid.fit(table(spark, SF, "documents"), langid.learnable())
-    names, scores = parser.predict(list(docs.values()))
-    kept = [i for i, n, s in zip(docs, names, scores) if n != "und" and s >= 0.4]
+    kept = [i for i, explained in zip(docs, parser.predict(list(docs.values()))[2]) if explained]
     group = classes(kept, [brute_fp(docs[i]) for i in kept])
     kept = [i for i in kept if group[i] == i]
     items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]

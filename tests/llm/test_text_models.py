@@ -33,19 +33,59 @@ def test_phrases_equal_greedy_parsing():
         assert row.tolist() == [brute_phrases(t + " ", ref) for t in texts]
 
 
+@pytest.mark.parametrize("segment", [7, 64, 1024])
+def test_phrases_of_long_texts_equal_greedy_parsing(segment, monkeypatch):
+    monkeypatch.setattr(langid, "SEGMENT", segment)
+    rng = np.random.default_rng(8)
+    say = lambda letters, n: "".join(rng.choice(list(letters), n))
+    references = {"aa": say("ab ", 900) + "z", "bb": say("abcdé ", 900), "cc": "ab" * 400}
+    parser = langid.CrossParser.fit({k: [v] for k, v in references.items()})
+    texts = [say("ab ", 5_000), say("abcdé ", 3_000), "ab" * 2_000, say("abz漢 ", 2_000), "b", "ab" * 600 + say("cd", 50) + "ab" * 600, ""]
+    symbols, lengths = parser.reduce(texts)
+    back = {0: " ", 1: "\0", **{k + 2: c for k, c in enumerate(parser.letters)}}
+    said = lambda part: "".join(back[x] for x in part.tolist())
+    read = [said(part) for part in np.split(symbols, np.cumsum(lengths)[:-1])]
+    spaced = {k: said(parser.reduce([v])[0]) for k, v in references.items()}
+    got = parser.phrases(symbols, lengths)
+    for row, lang in zip(got, parser.languages):
+        assert row.tolist() == [brute_phrases(t, spaced[lang]) for t in read], lang
+
+
+def test_scripts_of_many_letters_are_told_apart():
+    rng = np.random.default_rng(9)
+    han, other = [chr(0x4E00 + k) for k in range(3_000)], [chr(0x4E00 + k) for k in range(3_000, 6_000)]
+    pairs = lambda letters: [a + b for a, b in zip(rng.permutation(letters), rng.permutation(letters))]
+    words = {"x1": pairs(han), "x2": pairs(other), "en": ["the", "cat", "dog"]}
+    say = lambda k, n: "".join(rng.choice(words[k], n)) if k != "en" else " ".join(rng.choice(words[k], n))
+    parser = langid.CrossParser.fit({k: [say(k, 9_000)] for k in words})
+    assert len(parser.letters) > 5_000 and len(parser.cells) * 8 < 4_000_000
+    assert parser.predict([say("x1", 30), say("x2", 30), say("en", 4)])[0] == ["x1", "x2", "en"]
+
+
+def test_shares_of_a_sample_are_equal():
+    parser = langid.CrossParser.fit({"aa": ["abc " * 50_000, "xyz " * 50_000, "xyz " * 50_000, "kl"]})
+    text = "kl " + "abc " * 10 + "xyz " * 10
+    symbols, lengths = parser.reduce([text])
+    assert parser.phrases(symbols, lengths)[0, 0] <= 8
+
+
 def test_predictions_of_odd_texts(spark):
     parser = langid.CrossParser.fit({"en": ["the cat sat on the mat " * 20], "de": ["der hund und die katze " * 20]})
-    rows = [(1, "the mat"), (2, "DIE KATZE!"), (3, None), (4, ""), (5, "123 !?"), (6, "漢字"), (6, "漢字"), (7, "der hund " * 20_000)]
+    rows = [(1, "the mat"), (2, "DIE KATZE!"), (3, None), (4, ""), (5, "123 !?"), (6, "漢字"), (6, "漢字"), (7, "der hund " * 20_000), (8, "A."), (9, "ш")]
     docs = spark.createDataFrame([(*r, "keep") for r in rows], "doc_id long, text string, lang string")
     got = [(r.id, r.lang) for r in langid.identify(docs, parser).orderBy("id").collect()]
     assert got[:5] == [(1, "en"), (2, "de"), (3, "und"), (4, "und"), (5, "und")] and got[5][1] in ("de", "en") and got[5] == got[6] and got[7] == (7, "de")
     assert all(0 <= r.score <= 1 for r in langid.identify(docs, parser).collect())
-    kept = langid.keep_identified(docs, parser, 0.4)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {1, 2, 7}
+    kept = langid.keep_identified(docs, parser)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 2, 7, 8, 9}
     nothing = langid.CrossParser.fit({})
     assert nothing.predict(["abc", None])[0] == ["und", "und"]
+    assert langid.keep_identified(docs, nothing).count() == 7
     assert langid.identify(docs.where(F.lit(False)), parser).count() == 0
     assert langid.fit(docs.where(F.lit(False))).languages == []
+    # repeated rows of a sampled id, and rows without one, are one text each
+    many = spark.createDataFrame([(1, "aa bb", "x")] * 500 + [(None, "cc dd", "y")] * 500, "doc_id long, text string, lang string")
+    assert langid.fit(many).languages == ["x", "y"] and len(langid.fit(many).base) < 30
 
 
 def test_language_accuracy_held_out(spark):
