@@ -6,12 +6,18 @@ window.  Any run of GRAM + SPAN - 1 words holds such a place, at the same offset
 wherever the run occurs, so every passage of LEAST words has a retained suffix in
 each of its copies.
 
-A first pass shuffles the suffixes' hashes alone and keeps those that occur more
-than once.  Their documents are then joined back, those of the few heavy hashes
-without a shuffle of their rows, and each kept suffix carries the
-hashes of the LEAST-word windows around it, reaching left and right.  Suffixes are
-sorted by their hash; neighbours with an equal window extend the match to it.  A
-very common hash is not gathered: its windows are counted as rows of their own.
+Texts are made distinct first; a text of several documents is a passage of its own.
+A first pass gives each text's suffixes by the hash of their first words alone and
+keeps those that occur again.  The texts that hold one are then read again, and each
+kept suffix takes along the words before and behind it, as far as a passage over it
+can reach.  Suffixes with the same first words meet in a task, are sorted in suffix
+order, word by word, and compared with their neighbours there; sorted by the words
+before them, read backwards, they are compared with their neighbours again.  A match
+is what the two common stretches, extended left and right, add up to.  Hashes only
+deal the suffixes out; words decide.
+
+A very common hash is not gathered: its windows are counted as rows of their own,
+by a 128-bit digest of their words.
 """
 
 from __future__ import annotations
@@ -19,10 +25,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, own_columns
+from .common import checkpointed, joined, merged_ranges, own_columns
 from .components import connected_components, spanning_forest
 
 #: Least words of a passage; words of a suffix's hash; hashes of a window of which the least is selected.
@@ -35,12 +41,18 @@ SALTS = 32
 #: A hash with over one part in HEAVY of all suffixes is heavy. There are fewer than HEAVY of these, so their list is broadcast.
 HEAVY = 10_000
 
+FOUND = "key long, start long, end long, within boolean, other long"
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each word, split at ASCII white space, A-Z lower-cased."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def words_of(text: str | None) -> list[bytes]:
+    """The words, split at ASCII white space, A-Z lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word."""
     digest = xxhash.xxh3_64_intdigest
     return np.array([digest(w) for w in words], dtype=np.uint64)
 
@@ -93,89 +105,149 @@ def selected(grams: np.ndarray, span: int) -> np.ndarray:
 
 
 def _suffixes(rows: DataFrame, least: int, gram: int) -> DataFrame:
-    """(h, key): the selected suffixes of each row of (key, text)."""
+    """(id, key, n_words, hs): each row's words counted, and the hashes of its selected suffixes, as often as they occur."""
 
     def batches(it):
         for b in it:
-            keys, hs = [], []
-            for k, t in enumerate(b.column("text").to_pylist()):
-                w = word_hashes(t)
-                if len(w) >= least:
-                    g = run_hashes(w, gram)
-                    at = selected(g, least - gram + 1)
-                    hs.append(g[at])
-                    keys.append(np.full(len(at), k))
-            if keys:
-                yield pa.record_batch([pa.array(np.concatenate(hs).view(np.int64)), b.column("key").take(pa.array(np.concatenate(keys)))], names=["h", "key"])
+            n, hs = [], []
+            for t in b.column("text").to_pylist():
+                words = words_of(t)
+                n.append(len(words))
+                if len(words) < least:
+                    hs.append(np.empty(0, np.uint64))
+                    continue
+                g = run_hashes(word_hashes(words), gram)
+                hs.append(g[selected(g, least - gram + 1)])
+            flat = pa.array(np.concatenate([*hs, np.empty(0, np.uint64)]).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(h) for h in hs])]).astype(np.int32)), flat)
+            yield pa.record_batch([b.column("id"), b.column("key"), pa.array(n, pa.int64()), lists], names=["id", "key", "n_words", "hs"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "key", "text").mapInArrow(batches, f"id {kind}, key long, n_words long, hs array<long>")
+
+
+def _places(text: str, wanted: list[int], least: int, gram: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """A text's words, and the places and hashes of its wanted suffixes."""
+    words = words_of(text)
+    g = run_hashes(word_hashes(words), gram)
+    at = selected(g, least - gram + 1)
+    at = at[np.isin(g[at].view(np.int64), np.array(wanted, dtype=np.int64))]
+    return words, at, g[at].view(np.int64)
+
+
+def _surrounded(rows: DataFrame, least: int, gram: int) -> DataFrame:
+    """(h, key, at, before, behind): each wanted suffix of a row with the words before and behind it that a passage over it may have."""
+    reach = least - gram
 
-    return rows.select("key", "text").mapInArrow(batches, "h long, key long")
+    def batches(it):
+        for b in it:
+            for k, (t, wanted) in enumerate(zip(b.column("text").to_pylist(), b.column("wanted").to_pylist())):
+                words, at, h = _places(t, wanted, least, gram)
+                if not len(at):
+                    continue
+                places = at.tolist()
+                before = pa.array([b" ".join(words[max(0, p - reach) : p]) for p in places], pa.binary())
+                behind = pa.array([b" ".join(words[p : p + least]) for p in places], pa.binary())
+                yield pa.record_batch([pa.array(h), b.column("key").take(pa.array(np.full(len(at), k))), pa.array(at), before, behind], names=["h", "key", "at", "before", "behind"])
+
+    return rows.mapInArrow(batches, "h long, key long, at long, before binary, behind binary")
 
 
 def _windows(rows: DataFrame, least: int, gram: int) -> DataFrame:
-    """(h, hot, key, at, w): each wanted suffix of a row with the hashes of the `least`-word windows over it, by its offset in them."""
+    """(key, start, v): the windows of `least` words over the wanted suffixes of a row, v their digest."""
 
     def batches(it):
         for b in it:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for k, (t, wanted, hot) in enumerate(zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), b.column("hot").to_pylist())):
-                w = word_hashes(t)
-                g, full = run_hashes(w, gram), run_hashes(w, least)
-                at = selected(g, least - gram + 1)
-                own = g[at].view(np.int64)
-                at = at[np.isin(own, np.array(wanted, dtype=np.int64))]
-                own = g[at].view(np.int64)
-                start = at[:, None] - np.arange(least - gram + 1)[None, :]
-                ok = (start >= 0) & (start < len(full))
-                out[0].append(own)
-                out[1].append(np.isin(own, np.array(hot, dtype=np.int64)))
-                out[2].append(np.full(len(at), k))
-                out[3].append(at)
-                # 0 stands for no window
-                out[4].append(np.where(ok, full[np.where(ok, start, 0)], np.uint64(0)))
-            if sum(map(len, out[0])):
-                h, hot, k, at, w = (np.concatenate(x) for x in out)
-                flat = pa.array(np.ascontiguousarray(w).view(np.int64).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(w) + 1, dtype=np.int32) * w.shape[1]), flat)
-                yield pa.record_batch([pa.array(h), pa.array(hot), b.column("key").take(pa.array(k)), pa.array(at.astype(np.int64)), lists], names=["h", "hot", "key", "at", "w"])
-
-    return rows.mapInArrow(batches, "h long, hot boolean, key long, at long, w array<long>")
-
-
-def _matched(key: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Which windows occur in two documents or more, and edges that connect those documents."""
-    hit = np.zeros(w.shape, dtype=bool)
-    edges = []
-    for a in range(w.shape[1]):
-        rows = np.flatnonzero(w[:, a])
-        order = rows[np.argsort(w[rows, a], kind="stable")]
-        if len(order) < 2:
-            continue
-        sorted_w = w[order, a]
-        cut = np.flatnonzero(np.concatenate([[True], sorted_w[1:] != sorted_w[:-1]]))
-        low, high = np.minimum.reduceat(key[order], cut), np.maximum.reduceat(key[order], cut)
-        size = np.diff(np.append(cut, len(order)))
-        shared = np.repeat(low != high, size)
-        hit[order[shared], a] = True
-        edges.append((key[order[shared]], np.repeat(low, size)[shared]))
-    return hit, edges
-
-
-def _compare(gram: int, least: int):
-    """Read suffixes sorted by hash as a stream and give, per batch, ranges (key, start, end) and edges (key, other)."""
+            for k, (t, wanted) in enumerate(zip(b.column("text").to_pylist(), b.column("wanted").to_pylist())):
+                words, at, _ = _places(t, wanted, least, gram)
+                start = np.unique(at[:, None] - np.arange(least - gram + 1)[None, :])
+                start = start[(start >= 0) & (start <= len(words) - least)]
+                v = pa.array([xxhash.xxh3_128_digest(b" ".join(words[p : p + least])) for p in start.tolist()], pa.binary())
+                yield pa.record_batch([b.column("key").take(pa.array(np.full(len(start), k))), pa.array(start), v], names=["key", "start", "v"])
+
+    return rows.mapInArrow(batches, "key long, start long, v binary")
+
+
+def _ordered(group: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The rows' order by group, then by the ids of their words."""
+    flat = np.ascontiguousarray(np.column_stack([group, ids]).astype(">u4"))
+    return np.argsort(flat.view(f"V{4 * flat.shape[1]}").ravel(), kind="stable")
+
+
+def _common(group: np.ndarray, ids: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """By place in the order, how many words a row has in common with its neighbour before, from the first on; -1 across groups."""
+    same = np.zeros((len(order), ids.shape[1] + 1), dtype=bool)
+    same[1:, :-1] = ids[order[1:]] == ids[order[:-1]]
+    out = same.argmin(axis=1)
+    out[np.concatenate([[True], group[order[1:]] != group[order[:-1]]])] = -1
+    return out
+
+
+def _matrix(texts: list[list[bytes]], number: dict[bytes, int], width: int, backwards: bool) -> np.ndarray:
+    """(rows, width) of word numbers; beyond a row's words a number that no other row has."""
+    out = np.broadcast_to((len(number) + np.arange(len(texts), dtype=np.int64))[:, None], (len(texts), width)).copy()
+    size = np.array([len(t) for t in texts])
+    out[np.arange(width)[None, :] < size[:, None]] = [number[w] for t in texts for w in (reversed(t) if backwards else t)]
+    return out
+
+
+def matches(group: np.ndarray, before: list[list[bytes]], behind: list[list[bytes]], least: int) -> list[np.ndarray]:
+    """For each number a of words before the suffix, the class of the window of `least` words that begins there, -1 where there is none.
+
+    Two suffixes of a group have one class where the a words before them and the
+    least - a words from them on are the same.
+    """
+    number = {w: k for k, w in enumerate(sorted({w for t in (*before, *behind) for w in t}))}
+    reach = max(map(len, before), default=0)
+    left, right = _matrix(before, number, reach, True), _matrix(behind, number, least, False)
+    by_left, by_right = _ordered(group, left), _ordered(group, right)
+    common_left, common_right = _common(group, left, by_left), _common(group, right, by_right)
+    n_left, n_right = np.array([len(t) for t in before]), np.array([len(t) for t in behind])
+    out = []
+    for a in range(reach + 1):
+        run_left, run_right = np.empty(len(group), dtype=np.int64), np.empty(len(group), dtype=np.int64)
+        run_left[by_left] = np.cumsum(common_left < a)
+        run_right[by_right] = np.cumsum(common_right < least - a)
+        out.append(np.where((n_left >= a) & (n_right >= least - a), run_right * (len(group) + 1) + run_left, -1))
+    return out
+
+
+def _compare(least: int):
+    """Read suffixes sorted by hash as a stream and give, per batch, ranges and edges as FOUND."""
 
     def give(parts):
-        h, key, at, w = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        hit, edges = _matched(key, w)
-        # runs of neighbouring offsets make one range
-        padded = np.pad(hit, ((0, 0), (1, 1))).astype(np.int8)
-        i, first = np.nonzero(np.diff(padded, axis=1) == 1)
-        _, last = np.nonzero(np.diff(padded, axis=1) == -1)
-        start, end = at[i] - (last - 1), at[i] - first + least
-        if len(i):
-            yield pa.record_batch([pa.array(key[i]), pa.array(start), pa.array(end), pa.nulls(len(i), pa.int64())], names=["key", "start", "end", "other"])
-        if edges:
-            a, b = spanning_forest(np.concatenate([x for x, _ in edges]), np.concatenate([y for _, y in edges]))
-            yield pa.record_batch([pa.array(a), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), pa.array(b)], names=["key", "start", "end", "other"])
+        h, key, at = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        before, behind = ([t.split() for p in parts for t in p[k]] for k in (3, 4))
+        classes = matches(np.unique(h, return_inverse=True)[1], before, behind, least)
+        hit = np.zeros((2, len(h), len(classes)), dtype=bool)
+        u, v = [], []
+        for a, found in enumerate(classes):
+            rows = np.flatnonzero(found >= 0)
+            order = rows[np.lexsort((key[rows], found[rows]))]
+            if len(order) < 2:
+                continue
+            c, k = found[order], key[order]
+            cut = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+            size = np.diff(np.append(cut, len(order)))
+            low = np.repeat(k[cut], size)
+            shared = low != np.repeat(k[np.append(cut[1:], len(order)) - 1], size)
+            hit[0, order[shared], a] = True
+            again = (c[1:] == c[:-1]) & (k[1:] == k[:-1])
+            hit[1, order[1:][again], a] = hit[1, order[:-1][again], a] = True
+            u.append(k[shared])
+            v.append(low[shared])
+        for within in (False, True):
+            # runs of neighbouring offsets make one range
+            padded = np.pad(hit[int(within)], ((0, 0), (1, 1))).astype(np.int8)
+            i, first = np.nonzero(np.diff(padded, axis=1) == 1)
+            _, last = np.nonzero(np.diff(padded, axis=1) == -1)
+            if len(i):
+                start, end = at[i] - (last - 1), at[i] - first + least
+                yield pa.record_batch([pa.array(key[i]), pa.array(start), pa.array(end), pa.array(np.full(len(i), within)), pa.nulls(len(i), pa.int64())], names=["key", "start", "end", "within", "other"])
+        if u:
+            a, b = spanning_forest(np.concatenate(u), np.concatenate(v))
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.record_batch([pa.array(a), none, none, pa.nulls(len(a), pa.bool_()), pa.array(b)], names=["key", "start", "end", "within", "other"])
 
     def batches(it):
         held: list[tuple] = []
@@ -183,12 +255,10 @@ def _compare(gram: int, least: int):
             if not b.num_rows:
                 continue
             h = b.column("h").to_numpy()
-            w = b.column("w").flatten().to_numpy().reshape(len(h), -1)
-            part = (h, b.column("key").to_numpy(), b.column("at").to_numpy(), w)
+            part = (h, b.column("key").to_numpy(), b.column("at").to_numpy(), b.column("before").to_pylist(), b.column("behind").to_pylist())
             last = int(np.argmax(h == h[-1]))  # sorted: where the last hash begins
             if last or (held and held[-1][0][-1] != h[0]):
-                done = [*held, tuple(x[:last] for x in part)] if last else held
-                yield from give(done)
+                yield from give([*held, tuple(x[:last] for x in part)] if last else held)
                 held = []
             held.append(tuple(x[last:] for x in part))
         if held:
@@ -197,70 +267,70 @@ def _compare(gram: int, least: int):
     return batches
 
 
-def _joined(dealt: DataFrame, again: DataFrame) -> DataFrame:
-    """dealt joined with the counts of its hashes that occur again; the rows of heavy hashes stay where they are."""
-    heavy = F.col("n") * HEAVY > dealt.count()
-    listed = F.broadcast(again.where(heavy))
-    return dealt.join(listed, "h").unionByName(dealt.join(listed, "h", "left_anti").join(again.where(~heavy), "h"))
-
-
-def _hot(windows: DataFrame, least: int) -> DataFrame:
-    """The same as _compare for suffixes of very common hashes, by counted windows."""
-    each = windows.select("key", "at", F.posexplode("w").alias("a", "v")).where("v != 0").select("key", (F.col("at") - F.col("a")).alias("start"), "v")
-    shared = each.groupBy("v").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low != high")
-    # the few shared windows go to every part, the many places to one each
+def _counted(windows: DataFrame, least: int) -> DataFrame:
+    """FOUND for the suffixes of very common hashes, by counted windows."""
+    each = checkpointed(windows)
+    shared = each.groupBy("v").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).where("n > 1")
+    # the few windows that occur again go to every part, the many places to one each
     each = each.withColumn("salt", F.pmod(F.xxhash64("key", "start"), F.lit(SALTS)).cast("int"))
-    shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = each.join(shared, ["v", "salt"]).select("key", "start", (F.col("start") + least).alias("end"), F.col("low").alias("other"))
-    edges = met.where("key != other").select("key", "other").distinct()
-    none = F.lit(None).cast("long")
-    return met.select("key", "start", "end", none.alias("other")).distinct().union(edges.select("key", none, none, "other"))
+    met = checkpointed(each.join(shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["v", "salt"]))
+    twice = met.groupBy("v", "key").agg(F.count("*").alias("times")).where("times > 1").select("v", "key")
+    end, none = (F.col("start") + least).alias("end"), F.lit(None).cast("long")
+    ranges = met.where("low != high").select("key", "start", end, F.lit(False).alias("within"), none.alias("other"))
+    inner = met.join(twice, ["v", "key"], "left_semi").select("key", "start", end, F.lit(True).alias("within"), none.alias("other"))
+    edges = met.where("key != low").select("key", none.alias("start"), none.alias("end"), F.lit(None).cast("boolean").alias("within"), F.col("low").alias("other")).distinct()
+    return ranges.union(inner).union(edges)
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(id, class_id, n_words, n_repeated, spans) per distinct id.
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM, hot: int | None = None) -> DataFrame:
+    """(id, class_id, n_words, n_repeated, n_within, spans) per row.
 
     spans are the word ranges (start, end exclusive), merged, that lie in passages
     of `least` words or more which another document holds too; n_repeated is the
-    words in them.  class_id is the smallest id reachable over shared passages, the
-    own id included.  Null, empty and short texts have no spans.  Rows without an
-    id are left out; of several texts under one id the smallest counts, so
-    repeated rows are one document.  An empty table gives an empty result.
+    words in them, and n_within the words in passages that the text itself holds
+    more than once.  class_id is the smallest id reachable over shared passages, the
+    own id included.  Null, empty and short texts have no spans.  Documents are told
+    apart by id and text: repeated rows are one document, a row without an id is one
+    of its own, and several texts under one id are several.  Ids may be of any type
+    that has an order; a null is a class's id only where it has no other.  An empty
+    table gives an empty result.
     """
-    own = own_columns(docs, key=id_col, text=text_col).select(F.col("key").cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("text")).where("key is not null")
-    twice = own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    if twice:
-        own = checkpointed(own.groupBy("key").agg(F.min("text").alias("text")))
-    suffixes = _suffixes(own, least, gram)
-    dealt = checkpointed(suffixes)
-    again = checkpointed(dealt.groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).where("low != high").select("h", "n"))
-    kept = _joined(dealt, again)
-    by_doc = kept.groupBy("key").agg(F.collect_set("h").alias("wanted"), F.collect_set(F.when(F.col("n") > hot, F.col("h"))).alias("hot"))
-    windows = checkpointed(_windows(own.join(by_doc, "key"), least, gram))
-    sorted_ = windows.where("not hot").select("h", "key", "at", "w").repartition("h").sortWithinPartitions("h")
-    found = sorted_.mapInArrow(_compare(gram, least), "key long, start long, end long, other long").union(_hot(windows.where("hot"), least))
+    hot = HOT if hot is None else hot
+    text = F.coalesce("text", F.lit(""))
+    own = own_columns(docs, id=id_col, text=text_col).select("id", F.xxhash64(text).alias("key"), text.alias("text"))
+    rows = checkpointed(_suffixes(own, least, gram))
+    by_text = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"), F.count("id").alias("named"), F.first("n_words").alias("n_words"), F.first("hs").alias("hs"))
+    several = (F.col("low") != F.col("high")) | (F.col("n") - F.col("named") > 1) | ((F.col("n") > F.col("named")) & (F.col("named") > 0))
+    by_text = checkpointed(by_text.select("key", "low", "n", "n_words", "hs", (F.coalesce(several, F.col("n") > 1) & (F.col("n_words") >= least)).alias("whole")))
+
+    dealt = by_text.select("key", F.explode("hs").alias("h"))
+    again = checkpointed(dealt.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    total = dealt.count()
+    kept = joined(dealt, again, "h", F.col("n") * HEAVY > total)
+    by_doc = checkpointed(kept.groupBy("key").agg(F.collect_set(F.when(F.col("n") <= hot, F.col("h"))).alias("wanted"), F.collect_set(F.when(F.col("n") > hot, F.col("h"))).alias("common")))
+    # copies of a text are made one before they travel
+    texts = own.groupBy("key").agg(F.first("text").alias("text"))
+    wanted = texts.join(by_doc.where("size(wanted) > 0").select("key", "wanted"), "key")
+    dealt_out = _surrounded(wanted, least, gram).repartition("h").sortWithinPartitions("h")
+    found = dealt_out.mapInArrow(_compare(least), FOUND)
+    if not again.where(F.col("n") > hot).isEmpty():
+        common = texts.join(by_doc.where("size(common) > 0").select("key", F.col("common").alias("wanted")), "key")
+        found = found.union(_counted(_windows(common, least, gram), least))
     found = checkpointed(found)
-    classes = connected_components(found.where("other is not null").select(F.col("key").alias("u"), F.col("other").alias("v")))
-    ranges = found.where("start is not null").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("ranges")).select("key", merged("ranges").alias("spans"))
-    none = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
-    words = own.select("key", _word_count(F.col("text")).alias("n_words"))
-    out = words.join(ranges, "key", "left").join(classes.withColumnRenamed("node", "key"), "key", "left")
-    spans = F.coalesce("spans", none)
-    total = F.aggregate(spans, F.lit(0).cast("long"), lambda t, s: t + (s["end"] - s["start"]))
-    return out.select(F.col("key").alias("id"), F.coalesce("component", "key").alias("class_id"), "n_words", total.alias("n_repeated"), spans.alias("spans"))
-
-
-def _word_count(text: Column) -> Column:
-    core = F.regexp_replace(text, r"\A[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
-    return F.when(core == "", F.lit(0)).otherwise(F.size(F.split(core, r"[\x20\x09-\x0D]+"))).cast("long")
 
+    classes = connected_components(found.where("other is not null").select(F.col("key").alias("u"), F.col("other").alias("v"))).withColumnRenamed("node", "key")
+    grouped = by_text.join(classes, "key", "left").select("key", "low", "n", "whole", F.coalesce("component", "key").alias("group"), F.col("component").isNotNull().alias("linked"))
+    grouped = checkpointed(grouped)
+    lowest = grouped.groupBy("group").agg(F.min("low").alias("class_id"))
+    spans = merged_ranges(found.where("start is not null and not within"), "key").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    inner = merged_ranges(found.where("within"), "key").groupBy("key").agg(F.sum(F.col("end") - F.col("start")).alias("n_within"))
+    of_text = checkpointed(grouped.join(lowest, "group").join(spans, "key", "left").join(inner, "key", "left").select("key", "n", "whole", "linked", "class_id", "spans", "n_within"))
 
-def merged(ranges: str) -> Column:
-    """Sorted ranges with touching and overlapping ones made one."""
-
-    def merge(out: Column, x: Column) -> Column:
-        last = F.element_at(out, -1)
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
-        return F.when(x["start"] > last["end"], F.concat(out, F.array(x))).otherwise(F.concat(F.slice(out, 1, F.size(out) - 1), F.array(wider)))
-
-    return F.aggregate(F.slice(ranges, 2, F.size(ranges)), F.slice(ranges, 1, 1), merge)
+    count = rows.count()
+    out = joined(rows.select("id", "key", "n_words"), of_text, "key", F.col("n") * HEAVY > count)
+    none = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
+    all_ = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
+    out = out.withColumn("spans", F.when(F.col("whole"), all_).otherwise(F.coalesce("spans", none)))
+    size = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + (s["end"] - s["start"]))
+    one_of = F.when(F.col("whole") | F.col("linked"), F.col("class_id")).otherwise(F.col("id"))
+    return out.select("id", one_of.alias("class_id"), "n_words", size.alias("n_repeated"), F.coalesce("n_within", F.lit(0)).cast("long").alias("n_within"), "spans")

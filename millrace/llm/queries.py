@@ -46,7 +46,7 @@ def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = passages.repeated_passages(table(spark, sf_dir, "documents"))
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
-    return out.select(F.col("id").alias("doc_id"), "class_id", "n_words", "n_repeated", F.size("spans").cast("long").alias("n_spans"), text.alias("spans"))
+    return out.select(F.col("id").alias("doc_id"), "class_id", "n_words", "n_repeated", "n_within", F.size("spans").cast("long").alias("n_spans"), text.alias("spans"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

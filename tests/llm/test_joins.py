@@ -124,36 +124,61 @@ def brute_passages(texts, least=50):
     ws = [(t or "").encode().lower().split() for t in texts]
     for i, w in enumerate(ws):
         for j in range(len(w) - least + 1):
-            where.setdefault(tuple(w[j : j + least]), set()).add(i)
+            where.setdefault(tuple(w[j : j + least]), []).append(i)
     out = []
-    for w in ws:
-        spans = []
+    for i, w in enumerate(ws):
+        spans, inner = [], set()
         for j in range(len(w) - least + 1):
-            if len(where[tuple(w[j : j + least])]) > 1:
+            held = where[tuple(w[j : j + least])]
+            if len(set(held)) > 1:
                 if spans and j <= spans[-1][1]:
                     spans[-1][1] = j + least
                 else:
                     spans.append([j, j + least])
-        out.append(spans)
+            if held.count(i) > 1:
+                inner |= set(range(j, j + least))
+        out.append((spans, len(inner)))
     return out
 
 
-@pytest.mark.parametrize(("hot", "heavy"), [(50_000, 10_000), (0, 1), (50_000, 60)])
+@pytest.mark.parametrize(("hot", "heavy"), [(50_000, 10_000), (0, 1), (50_000, 60), (3, 10_000)])
 def test_passages_equal_brute_force(spark, hot, heavy, monkeypatch):
     monkeypatch.setattr(passages, "HEAVY", heavy)
     rng = np.random.default_rng(1)
     say = lambda n, v=400: " ".join(f"w{k}" for k in rng.integers(0, v, n))
-    shared, line = say(60), " ".join(["again and again"] * 30)
+    shared, line, other = say(60), " ".join(["again and again"] * 30), say(70)
+    twice = say(80)
     texts = [say(80) + " " + shared + " " + say(30), shared.upper(), say(20) + "\n" + shared[: shared.rfind(" ")] + " " + say(20), say(200), None, "", say(49), line, line + " x", say(10) + " " + line, shared + " " + shared, say(3, 2) * 40, "lone words " * 100]
-    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] + [(1, texts[1], "clash"), (None, shared, "clash")], "doc_id long, text string, h string")
-    got = {r.id: r for r in passages.repeated_passages(docs, hot=hot).collect()}
-    want = brute_passages(texts)
-    assert {i: [[s.start, s.end] for s in got[i].spans] for i in got} == dict(enumerate(want))
-    assert got[0].class_id == got[1].class_id == got[2].class_id == got[10].class_id == 0 and got[3].class_id == 3
-    assert all(got[i].n_words == len((t or "").encode().split()) for i, t in enumerate(texts))
+    texts += [other, other, say(9) + " " + other, twice + " " + say(70) + " " + twice, "short copy", "short copy", say(30) + " " + twice[: len(twice) // 2], " ".join(other.split()[:49]), "\x01 ".join(other.split()[:60])]
+    rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(1, texts[1], "clash"), (None, say(60) + shared, "clash"), (3, say(60), "clash"), (None, say(60), "clash")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h string")
+    # a document is a row, but for repeated ones
+    want = brute_passages([t for k, (_, t, _) in enumerate(rows) if k != len(texts)])
+    got = passages.repeated_passages(docs, hot=hot).collect()
+    assert len(got) == len(rows)
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r.id, []).append(([[s.start, s.end] for s in r.spans], r.n_within))
+    for i in range(len(texts)):
+        assert want[i] in by_id[i], (i, want[i], by_id[i])
+    assert sorted(by_id[None]) == sorted(want[-3:][::2]) and sorted(by_id[3]) == sorted([want[3], want[-2]])
+    of = {r.id: r for r in got if r.id not in (None, 3)}
+    assert of[0].class_id == of[1].class_id == of[2].class_id == of[10].class_id == 0 and of[13].class_id == of[14].class_id == of[15].class_id == 13
+    assert (of[17].class_id, of[18].class_id) == (17, 18)
+    assert all(of[i].n_words == len((t or "").encode().split()) for i, t in enumerate(texts) if i != 3)
     assert passages.repeated_passages(docs.where(F.lit(False))).count() == 0
 
 
+def test_passages_of_text_ids_and_long_texts(spark):
+    rng = np.random.default_rng(2)
+    shared = " ".join(f"w{k}" for k in rng.integers(0, 400, 55))
+    far = " ".join(f"v{k}" for k in rng.integers(0, 5_000, 100_000))
+    docs = spark.createDataFrame([("b", far + " " + shared), ("a", shared), ("c", "same " * 20_000)], "doc_id string, text string")
+    got = {r.id: r for r in passages.repeated_passages(docs).collect()}
+    assert [(s.start, s.end) for s in got["b"].spans] == [(100_000, 100_055)] and got["b"].class_id == got["a"].class_id == "a"
+    assert (got["c"].n_repeated, got["c"].n_within, got["c"].class_id) == (0, 20_000, "c")
+
+
 def test_every_long_window_has_a_selected_place():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 2**63, 400, dtype=np.uint64)
