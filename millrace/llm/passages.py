@@ -9,12 +9,12 @@ each of its copies.
 Texts are made distinct first; a text of several documents is a passage of its own.
 A first pass gives each text's suffixes by the hash of their first words alone and
 keeps those that occur again.  The texts that hold one are then read again, and each
-kept suffix takes along the words before and behind it, as far as a passage over it
-can reach.  Suffixes with the same first words meet in a task, are sorted in suffix
-order, word by word, and compared with their neighbours there; sorted by the words
-before them, read backwards, they are compared with their neighbours again.  A match
-is what the two common stretches, extended left and right, add up to.  Hashes only
-deal the suffixes out; words decide.
+kept suffix takes along the words before and behind it, as far as the windows reach
+that it was selected for.  Suffixes with the same first words meet in a task, are
+sorted in suffix order, word by word, and compared with their neighbours there;
+sorted by the words before them, read backwards, they are compared with their
+neighbours again.  A match is what the two common stretches, extended left and
+right, add up to.  Hashes only deal the suffixes out; words decide.
 
 A very common hash is not gathered: its windows are counted as rows of their own,
 by a 128-bit digest of their words.
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, joined, merged_ranges, own_columns
+from .common import checkpointed, joined, merged_ranges, own_columns, remove, scratch
 from .components import connected_components, spanning_forest
 
 #: Least words of a passage; words of a suffix's hash; hashes of a window of which the least is selected.
@@ -82,25 +82,25 @@ def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return _mixed(total)
 
 
-def selected(grams: np.ndarray, span: int) -> np.ndarray:
-    """Places whose hash is the least of some window of `span` hashes; of all, where there are fewer."""
-    if not len(grams):
-        return np.empty(0, dtype=np.int64)
+def minima(grams: np.ndarray, span: int) -> np.ndarray:
+    """The least hash of each window of `span` hashes, by the window's place; of all, where there are fewer."""
     span = min(span, len(grams))
     low, size = grams.copy(), 1
     while 2 * size <= span:
         low = np.minimum(low[: len(low) - size], low[size:])
         size *= 2
-    if size < span:
-        low = np.minimum(low[: len(low) - (span - size)], low[span - size :])
+    return np.minimum(low[: len(low) - (span - size)], low[span - size :]) if size < span else low
+
+
+def selected(grams: np.ndarray, span: int) -> np.ndarray:
+    """Places whose hash is the least of some window of `span` hashes."""
+    if not len(grams):
+        return np.empty(0, dtype=np.int64)
+    span = min(span, len(grams))
+    low = minima(grams, span)
     # a place is selected if the least of one of the windows over it is its own
-    back = np.concatenate([np.zeros(span - 1, dtype=np.uint64), low, np.zeros(span - 1, dtype=np.uint64)])
-    high, size = back, 1
-    while 2 * size <= span:
-        high = np.maximum(high[: len(high) - size], high[size:])
-        size *= 2
-    if size < span:
-        high = np.maximum(high[: len(high) - (span - size)], high[span - size :])
+    edge = np.zeros(span - 1, dtype=np.uint64)
+    high = ~minima(~np.concatenate([edge, low, edge]), span)
     return np.flatnonzero(high == grams)
 
 
@@ -126,46 +126,57 @@ def _suffixes(rows: DataFrame, least: int, gram: int) -> DataFrame:
     return rows.select("id", "key", "text").mapInArrow(batches, f"id {kind}, key long, n_words long, hs array<long>")
 
 
-def _places(text: str, wanted: list[int], least: int, gram: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """A text's words, and the places and hashes of its wanted suffixes."""
+def _places(text: str, wanted: list[int], least: int, gram: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A text's words; the places and hashes of its wanted suffixes; and the first and last of the windows of `least` words that each was selected for.
+
+    A passage's windows select the same suffix in each of its copies, so each window
+    is looked for at its own one alone.
+    """
     words = words_of(text)
     g = run_hashes(word_hashes(words), gram)
+    low = minima(g, least - gram + 1)
     at = selected(g, least - gram + 1)
     at = at[np.isin(g[at].view(np.int64), np.array(wanted, dtype=np.int64))]
-    return words, at, g[at].view(np.int64)
+    start = at[:, None] - np.arange(least - gram, -1, -1)[None, :]
+    inside = (start >= 0) & (start < len(low))
+    own = inside & (low[np.where(inside, start, 0)] == g[at][:, None])
+    first, last = own.argmax(axis=1), own.shape[1] - 1 - own[:, ::-1].argmax(axis=1)
+    rows = np.arange(len(at))
+    return words, at, g[at].view(np.int64), start[rows, first], start[rows, last]
+
 
+def _taken_along(rows: DataFrame, least: int, gram: int) -> DataFrame:
+    """Each wanted suffix of a row as (h, key, at, before, behind), with the words before and behind it that its windows have.
 
-def _surrounded(rows: DataFrame, least: int, gram: int) -> DataFrame:
-    """(h, key, at, before, behind): each wanted suffix of a row with the words before and behind it that a passage over it may have."""
-    reach = least - gram
+    For suffixes of `common` hashes instead the windows, as (key, at, v), v being the
+    digest of the `least` words from `at` on.
+    """
 
     def batches(it):
         for b in it:
-            for k, (t, wanted) in enumerate(zip(b.column("text").to_pylist(), b.column("wanted").to_pylist())):
-                words, at, h = _places(t, wanted, least, gram)
+            for k, t in enumerate(b.column("text").to_pylist()):
+                wanted, common = (b.column(c)[k].as_py() for c in ("wanted", "common"))
+                words, at, h, first, last = _places(t, wanted + common, least, gram)
                 if not len(at):
                     continue
-                places = at.tolist()
-                before = pa.array([b" ".join(words[max(0, p - reach) : p]) for p in places], pa.binary())
-                behind = pa.array([b" ".join(words[p : p + least]) for p in places], pa.binary())
-                yield pa.record_batch([pa.array(h), b.column("key").take(pa.array(np.full(len(at), k))), pa.array(at), before, behind], names=["h", "key", "at", "before", "behind"])
-
-    return rows.mapInArrow(batches, "h long, key long, at long, before binary, behind binary")
-
-
-def _windows(rows: DataFrame, least: int, gram: int) -> DataFrame:
-    """(key, start, v): the windows of `least` words over the wanted suffixes of a row, v their digest."""
-
-    def batches(it):
-        for b in it:
-            for k, (t, wanted) in enumerate(zip(b.column("text").to_pylist(), b.column("wanted").to_pylist())):
-                words, at, _ = _places(t, wanted, least, gram)
-                start = np.unique(at[:, None] - np.arange(least - gram + 1)[None, :])
-                start = start[(start >= 0) & (start <= len(words) - least)]
-                v = pa.array([xxhash.xxh3_128_digest(b" ".join(words[p : p + least])) for p in start.tolist()], pa.binary())
-                yield pa.record_batch([b.column("key").take(pa.array(np.full(len(start), k))), pa.array(start), v], names=["key", "start", "v"])
-
-    return rows.mapInArrow(batches, "key long, start long, v binary")
+                hot = np.isin(h, np.array(common, dtype=np.int64)) if common else np.zeros(len(h), dtype=bool)
+                own = list(zip(at[~hot].tolist(), first[~hot].tolist(), last[~hot].tolist()))
+                before = [b" ".join(words[a:p]) for p, a, _ in own]
+                behind = [b" ".join(words[p : z + least]) for p, _, z in own]
+                start = np.unique(np.concatenate([np.empty(0, np.int64), *(np.arange(a, z + 1) for a, z in zip(first[hot].tolist(), last[hot].tolist()))]))
+                v = [xxhash.xxh3_128_digest(b" ".join(words[p : p + least])) for p in start.tolist()]
+                n, m = len(own), len(start)
+                columns = [
+                    pa.concat_arrays([pa.array(h[~hot]), pa.nulls(m, pa.int64())]),
+                    b.column("key").take(pa.array(np.full(n + m, k))),
+                    pa.array(np.concatenate([at[~hot], start])),
+                    pa.array(before + [None] * m, pa.binary()),
+                    pa.array(behind + [None] * m, pa.binary()),
+                    pa.array([None] * n + v, pa.binary()),
+                ]
+                yield pa.record_batch(columns, names=["h", "key", "at", "before", "behind", "v"])
+
+    return rows.mapInArrow(batches, "h long, key long, at long, before binary, behind binary, v binary")
 
 
 def _ordered(group: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -267,13 +278,12 @@ def _compare(least: int):
     return batches
 
 
-def _counted(windows: DataFrame, least: int) -> DataFrame:
-    """FOUND for the suffixes of very common hashes, by counted windows."""
-    each = checkpointed(windows)
+def _counted(each: DataFrame, least: int) -> DataFrame:
+    """FOUND for the windows (key, at, v) of the suffixes of very common hashes."""
     shared = each.groupBy("v").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).where("n > 1")
-    # the few windows that occur again go to every part, the many places to one each
-    each = each.withColumn("salt", F.pmod(F.xxhash64("key", "start"), F.lit(SALTS)).cast("int"))
-    met = checkpointed(each.join(shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["v", "salt"]))
+    # the windows that occur again go to every part, the many places to one each
+    each = each.withColumn("salt", F.pmod(F.xxhash64("key", "at"), F.lit(SALTS)).cast("int"))
+    met = checkpointed(each.join(shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["v", "salt"]).select("key", F.col("at").alias("start"), "v", "low", "high"))
     twice = met.groupBy("v", "key").agg(F.count("*").alias("times")).where("times > 1").select("v", "key")
     end, none = (F.col("start") + least).alias("end"), F.lit(None).cast("long")
     ranges = met.where("low != high").select("key", "start", end, F.lit(False).alias("within"), none.alias("other"))
@@ -310,13 +320,19 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     by_doc = checkpointed(kept.groupBy("key").agg(F.collect_set(F.when(F.col("n") <= hot, F.col("h"))).alias("wanted"), F.collect_set(F.when(F.col("n") > hot, F.col("h"))).alias("common")))
     # copies of a text are made one before they travel
     texts = own.groupBy("key").agg(F.first("text").alias("text"))
-    wanted = texts.join(by_doc.where("size(wanted) > 0").select("key", "wanted"), "key")
-    dealt_out = _surrounded(wanted, least, gram).repartition("h").sortWithinPartitions("h")
+    along = _taken_along(texts.join(by_doc, "key"), least, gram)
+    place = scratch(docs.sparkSession, "passages")
+    common = not again.where(F.col("n") > hot).isEmpty()
+    if common:
+        # two ways of comparing read what the texts gave once
+        along.write.parquet(place)
+        along = docs.sparkSession.read.parquet(place)
+    dealt_out = along.where("h is not null").drop("v").repartition("h").sortWithinPartitions("h")
     found = dealt_out.mapInArrow(_compare(least), FOUND)
-    if not again.where(F.col("n") > hot).isEmpty():
-        common = texts.join(by_doc.where("size(common) > 0").select("key", F.col("common").alias("wanted")), "key")
-        found = found.union(_counted(_windows(common, least, gram), least))
+    if common:
+        found = found.union(_counted(along.where("v is not null").select("key", "at", "v"), least))
     found = checkpointed(found)
+    remove(docs.sparkSession, place)
 
     classes = connected_components(found.where("other is not null").select(F.col("key").alias("u"), F.col("other").alias("v"))).withColumnRenamed("node", "key")
     grouped = by_text.join(classes, "key", "left").select("key", "low", "n", "whole", F.coalesce("component", "key").alias("group"), F.col("component").isNotNull().alias("linked"))
