@@ -35,12 +35,15 @@ from .components import connected_components, spanning_forest
 LEAST, GRAM = 50, 8
 SPAN = LEAST - GRAM + 1
 #: Suffixes of one hash that are compared by sorting; more are compared by counted windows.
-HOT = 50_000
+HOT = 2_000
 #: Parts that the windows of such hashes are dealt to by their place, so that no window's rows meet in one task.
 SALTS = 32
 #: A hash with over one part in HEAVY of all suffixes is heavy. There are fewer than HEAVY of these, so their list is broadcast.
 HEAVY = 10_000
 
+#: Rows that a task hands on at a time, but for its last text's.
+ROWS = 4_000
+
 FOUND = "key long, start long, end long, within boolean, other long"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -154,27 +157,31 @@ def _taken_along(rows: DataFrame, least: int, gram: int) -> DataFrame:
 
     def batches(it):
         for b in it:
+            held: list[tuple] = []
+            n = 0
             for k, t in enumerate(b.column("text").to_pylist()):
                 wanted, common = (b.column(c)[k].as_py() for c in ("wanted", "common"))
                 words, at, h, first, last = _places(t, wanted + common, least, gram)
-                if not len(at):
-                    continue
                 hot = np.isin(h, np.array(common, dtype=np.int64)) if common else np.zeros(len(h), dtype=bool)
                 own = list(zip(at[~hot].tolist(), first[~hot].tolist(), last[~hot].tolist()))
-                before = [b" ".join(words[a:p]) for p, a, _ in own]
-                behind = [b" ".join(words[p : z + least]) for p, _, z in own]
                 start = np.unique(np.concatenate([np.empty(0, np.int64), *(np.arange(a, z + 1) for a, z in zip(first[hot].tolist(), last[hot].tolist()))]))
+                before, behind = [b" ".join(words[a:p]) for p, a, _ in own], [b" ".join(words[p : z + least]) for p, _, z in own]
                 v = [xxhash.xxh3_128_digest(b" ".join(words[p : p + least])) for p in start.tolist()]
-                n, m = len(own), len(start)
-                columns = [
-                    pa.concat_arrays([pa.array(h[~hot]), pa.nulls(m, pa.int64())]),
-                    b.column("key").take(pa.array(np.full(n + m, k))),
-                    pa.array(np.concatenate([at[~hot], start])),
-                    pa.array(before + [None] * m, pa.binary()),
-                    pa.array(behind + [None] * m, pa.binary()),
-                    pa.array([None] * n + v, pa.binary()),
-                ]
-                yield pa.record_batch(columns, names=["h", "key", "at", "before", "behind", "v"])
+                held.append((h[~hot], np.full(len(own) + len(v), k), np.concatenate([at[~hot], start]), before, behind, v))
+                n += len(own) + len(v)
+                if n >= ROWS:
+                    yield given(b, held)
+                    held, n = [], 0
+            if n:
+                yield given(b, held)
+
+    def given(b, held):
+        # by text its suffixes, then its windows
+        h = pa.concat_arrays([pa.concat_arrays([pa.array(x[0]), pa.nulls(len(x[5]), pa.int64())]) for x in held])
+        k, at = (np.concatenate([x[j] for x in held]) for j in (1, 2))
+        before, behind = (pa.array([t for x in held for t in (*x[j], *[None] * len(x[5]))], pa.binary()) for j in (3, 4))
+        v = pa.array([t for x in held for t in (*[None] * len(x[3]), *x[5])], pa.binary())
+        return pa.record_batch([h, b.column("key").take(pa.array(k)), pa.array(at), before, behind, v], names=["h", "key", "at", "before", "behind", "v"])
 
     return rows.mapInArrow(batches, "h long, key long, at long, before binary, behind binary, v binary")
 
@@ -194,26 +201,31 @@ def _common(group: np.ndarray, ids: np.ndarray, order: np.ndarray) -> np.ndarray
     return out
 
 
-def _matrix(texts: list[list[bytes]], number: dict[bytes, int], width: int, backwards: bool) -> np.ndarray:
+def _matrix(texts: list[bytes], number: dict[bytes, int], width: int, backwards: bool) -> np.ndarray:
     """(rows, width) of word numbers; beyond a row's words a number that no other row has."""
-    out = np.broadcast_to((len(number) + np.arange(len(texts), dtype=np.int64))[:, None], (len(texts), width)).copy()
-    size = np.array([len(t) for t in texts])
-    out[np.arange(width)[None, :] < size[:, None]] = [number[w] for t in texts for w in (reversed(t) if backwards else t)]
+    out = np.broadcast_to((len(number) + np.arange(len(texts), dtype=np.uint32))[:, None], (len(texts), width)).copy()
+    for row, t in zip(out, texts):
+        words = [number[w] for w in t.split()]
+        row[: len(words)] = words[::-1] if backwards else words
     return out
 
 
-def matches(group: np.ndarray, before: list[list[bytes]], behind: list[list[bytes]], least: int) -> list[np.ndarray]:
+def matches(group: np.ndarray, before: list[bytes], behind: list[bytes], least: int) -> list[np.ndarray]:
     """For each number a of words before the suffix, the class of the window of `least` words that begins there, -1 where there is none.
 
     Two suffixes of a group have one class where the a words before them and the
     least - a words from them on are the same.
     """
-    number = {w: k for k, w in enumerate(sorted({w for t in (*before, *behind) for w in t}))}
-    reach = max(map(len, before), default=0)
-    left, right = _matrix(before, number, reach, True), _matrix(behind, number, least, False)
+    words: set[bytes] = set()
+    for t in (*before, *behind):
+        words.update(t.split())
+    number = {w: k for k, w in enumerate(sorted(words))}
+    n_left, n_right = (np.array([t.count(b" ") + 1 if t else 0 for t in x], dtype=np.int64) for x in (before, behind))
+    reach = int(n_left.max(initial=0))
+    left, right = _matrix(before, number, reach, True), _matrix(behind, number, int(n_right.max(initial=least)), False)
+    del words, number
     by_left, by_right = _ordered(group, left), _ordered(group, right)
     common_left, common_right = _common(group, left, by_left), _common(group, right, by_right)
-    n_left, n_right = np.array([len(t) for t in before]), np.array([len(t) for t in behind])
     out = []
     for a in range(reach + 1):
         run_left, run_right = np.empty(len(group), dtype=np.int64), np.empty(len(group), dtype=np.int64)
@@ -228,7 +240,7 @@ def _compare(least: int):
 
     def give(parts):
         h, key, at = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        before, behind = ([t.split() for p in parts for t in p[k]] for k in (3, 4))
+        before, behind = ([t for p in parts for t in p[k]] for k in (3, 4))
         classes = matches(np.unique(h, return_inverse=True)[1], before, behind, least)
         hit = np.zeros((2, len(h), len(classes)), dtype=bool)
         u, v = [], []
