@@ -296,10 +296,11 @@ def _counted(each: DataFrame, least: int) -> DataFrame:
     # the windows that occur again go to every part, the many places to one each
     each = each.withColumn("salt", F.pmod(F.xxhash64("key", "at"), F.lit(SALTS)).cast("int"))
     met = checkpointed(each.join(shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["v", "salt"]).select("key", F.col("at").alias("start"), "v", "low", "high"))
-    twice = met.groupBy("v", "key").agg(F.count("*").alias("times")).where("times > 1").select("v", "key")
     end, none = (F.col("start") + least).alias("end"), F.lit(None).cast("long")
     ranges = met.where("low != high").select("key", "start", end, F.lit(False).alias("within"), none.alias("other"))
-    inner = met.join(twice, ["v", "key"], "left_semi").select("key", "start", end, F.lit(True).alias("within"), none.alias("other"))
+    # a text's own places of a window
+    inner = met.groupBy("v", "key").agg(F.collect_list("start").alias("starts")).where("size(starts) > 1").select("key", F.explode("starts").alias("start"))
+    inner = inner.select("key", "start", end, F.lit(True).alias("within"), none.alias("other"))
     edges = met.where("key != low").select("key", none.alias("start"), none.alias("end"), F.lit(None).cast("boolean").alias("within"), F.col("low").alias("other")).distinct()
     return ranges.union(inner).union(edges)
 
@@ -349,10 +350,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     classes = connected_components(found.where("other is not null").select(F.col("key").alias("u"), F.col("other").alias("v"))).withColumnRenamed("node", "key")
     grouped = by_text.join(classes, "key", "left").select("key", "low", "n", "whole", F.coalesce("component", "key").alias("group"), F.col("component").isNotNull().alias("linked"))
     grouped = checkpointed(grouped)
-    lowest = grouped.groupBy("group").agg(F.min("low").alias("class_id"))
+    lowest = grouped.groupBy("group").agg(F.min("low").alias("class_id"), F.count("*").alias("members"))
+    named = joined(grouped, lowest, "group", F.col("members") * HEAVY > grouped.count())
     spans = merged_ranges(found.where("start is not null and not within"), "key").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     inner = merged_ranges(found.where("within"), "key").groupBy("key").agg(F.sum(F.col("end") - F.col("start")).alias("n_within"))
-    of_text = checkpointed(grouped.join(lowest, "group").join(spans, "key", "left").join(inner, "key", "left").select("key", "n", "whole", "linked", "class_id", "spans", "n_within"))
+    of_text = checkpointed(named.join(spans, "key", "left").join(inner, "key", "left").select("key", "n", "whole", "linked", "class_id", "spans", "n_within"))
 
     count = rows.count()
     out = joined(rows.select("id", "key", "n_words"), of_text, "key", F.col("n") * HEAVY > count)
