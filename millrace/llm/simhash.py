@@ -208,8 +208,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = checkpointed(fingerprints(docs, id_col, text_col, width))
     by_fp = marked.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n"))
     members = checkpointed(by_fp.join(_grouped(marked, radius), "fp"))
-    lowest = members.groupBy("group").agg(F.min("low").alias("component_id"))
-    classes = members.join(lowest, "group").select("fp", "component_id", "n")
+    lowest = members.groupBy("group").agg(F.min("low").alias("component_id"), F.count("*").alias("fps"))
+    classes = joined(members, lowest, "group", F.col("fps") * HEAVY > members.count()).select("fp", "component_id", "n")
     heavy = F.col("n") * HEAVY > marked.count()
     return joined(marked, checkpointed(classes), "fp", heavy).select("id", "fp", "component_id")
 
@@ -225,13 +225,14 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = checkpointed(_grouped(marked, radius))
     order = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("row").alias("c"))
     by_fp = checkpointed(marked.groupBy("fp").agg(F.min(order).alias("first"), F.count("*").alias("n")).join(groups, "fp"))
-    firsts = by_fp.groupBy("group").agg(F.min("first").getField("c").alias("first_row"))
-    members = checkpointed(by_fp.select("fp", "group", "n").join(firsts, "group").select("fp", "n", "first_row"))
+    firsts = by_fp.groupBy("group").agg(F.min("first").getField("c").alias("first_row"), F.count("*").alias("fps"))
+    members = joined(by_fp.select("fp", "group", "n"), firsts, "group", F.col("fps") * HEAVY > by_fp.count())
+    members = checkpointed(members.select("fp", "n", "first_row"))
     heavy = F.col("n") * HEAVY > marked.count()
     others = joined(marked, members, "fp", heavy).where("row != first_row").select(F.col("row").alias("__row")).distinct()
     kept = without(rows, others, "__row")
     # a first row that occurs several times itself
-    twice = marked.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").join(firsts.withColumnRenamed("first_row", "row"), "row", "left_semi")
+    twice = marked.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").join(firsts.select(F.col("first_row").alias("row")), "row", "left_semi")
     if not twice.isEmpty():
         kept = kept.dropDuplicates(["__row"])
     return kept.drop("__row")
