@@ -35,7 +35,7 @@ from .components import connected_components, spanning_forest
 LEAST, GRAM = 50, 8
 SPAN = LEAST - GRAM + 1
 #: Suffixes of one hash that are compared by sorting; more are compared by counted windows.
-HOT = 2_000
+HOT = 10_000
 #: Parts that the windows of such hashes are dealt to by their place, so that no window's rows meet in one task.
 SALTS = 32
 #: A hash with over one part in HEAVY of all suffixes is heavy. There are fewer than HEAVY of these, so their list is broadcast.
