@@ -16,8 +16,9 @@ sorted by the words before them, read backwards, they are compared with their
 neighbours again.  A match is what the two common stretches, extended left and
 right, add up to.  Hashes only deal the suffixes out; words decide.
 
-A very common hash is not gathered: its windows are counted as rows of their own,
-by a 128-bit digest of their words.
+A very common hash is not gathered: its windows, each with a 128-bit digest of its
+words, are sorted over all tasks and compared with their neighbours, and what a
+task's first and last window have in other tasks is added.
 """
 
 from __future__ import annotations
@@ -34,10 +35,8 @@ from .components import connected_components, spanning_forest
 #: Least words of a passage; words of a suffix's hash; hashes of a window of which the least is selected.
 LEAST, GRAM = 50, 8
 SPAN = LEAST - GRAM + 1
-#: Suffixes of one hash that are compared by sorting; more are compared by counted windows.
-HOT = 10_000
-#: Parts that the windows of such hashes are dealt to by their place, so that no window's rows meet in one task.
-SALTS = 32
+#: Suffixes of one hash that are compared in one task; of more, their windows are sorted over all tasks.
+HOT = 2_000
 #: A hash with over one part in HEAVY of all suffixes is heavy. There are fewer than HEAVY of these, so their list is broadcast.
 HEAVY = 10_000
 
@@ -151,8 +150,8 @@ def _places(text: str, wanted: list[int], least: int, gram: int) -> tuple[list[b
 def _taken_along(rows: DataFrame, least: int, gram: int) -> DataFrame:
     """Each wanted suffix of a row as (h, key, at, before, behind), with the words before and behind it that its windows have.
 
-    For suffixes of `common` hashes instead the windows, as (key, at, v), v being the
-    digest of the `least` words from `at` on.
+    For suffixes of `common` hashes instead the windows, as (key, at, v1, v2), the
+    latter being the digest of the `least` words from `at` on.
     """
 
     def batches(it):
@@ -166,9 +165,9 @@ def _taken_along(rows: DataFrame, least: int, gram: int) -> DataFrame:
                 own = list(zip(at[~hot].tolist(), first[~hot].tolist(), last[~hot].tolist()))
                 start = np.unique(np.concatenate([np.empty(0, np.int64), *(np.arange(a, z + 1) for a, z in zip(first[hot].tolist(), last[hot].tolist()))]))
                 before, behind = [b" ".join(words[a:p]) for p, a, _ in own], [b" ".join(words[p : z + least]) for p, _, z in own]
-                v = [xxhash.xxh3_128_digest(b" ".join(words[p : p + least])) for p in start.tolist()]
-                held.append((h[~hot], np.full(len(own) + len(v), k), np.concatenate([at[~hot], start]), before, behind, v))
-                n += len(own) + len(v)
+                v = b"".join(xxhash.xxh3_128_digest(b" ".join(words[p : p + least])) for p in start.tolist())
+                held.append((h[~hot], np.full(len(own) + len(start), k), np.concatenate([at[~hot], start]), before, behind, np.frombuffer(v, dtype="<i8").reshape(-1, 2)))
+                n += len(own) + len(start)
                 if n >= ROWS:
                     yield given(b, held)
                     held, n = [], 0
@@ -180,10 +179,10 @@ def _taken_along(rows: DataFrame, least: int, gram: int) -> DataFrame:
         h = pa.concat_arrays([pa.concat_arrays([pa.array(x[0]), pa.nulls(len(x[5]), pa.int64())]) for x in held])
         k, at = (np.concatenate([x[j] for x in held]) for j in (1, 2))
         before, behind = (pa.array([t for x in held for t in (*x[j], *[None] * len(x[5]))], pa.binary()) for j in (3, 4))
-        v = pa.array([t for x in held for t in (*[None] * len(x[3]), *x[5])], pa.binary())
-        return pa.record_batch([h, b.column("key").take(pa.array(k)), pa.array(at), before, behind, v], names=["h", "key", "at", "before", "behind", "v"])
+        v = [pa.concat_arrays([y for x in held for y in (pa.nulls(len(x[3]), pa.int64()), pa.array(np.ascontiguousarray(x[5][:, j])))]) for j in (0, 1)]
+        return pa.record_batch([h, b.column("key").take(pa.array(k)), pa.array(at), before, behind, *v], names=["h", "key", "at", "before", "behind", "v1", "v2"])
 
-    return rows.mapInArrow(batches, "h long, key long, at long, before binary, behind binary, v binary")
+    return rows.mapInArrow(batches, "h long, key long, at long, before binary, behind binary, v1 long, v2 long")
 
 
 def _ordered(group: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -290,19 +289,90 @@ def _compare(least: int):
     return batches
 
 
-def _counted(each: DataFrame, least: int) -> DataFrame:
-    """FOUND for the windows (key, at, v) of the suffixes of very common hashes."""
-    shared = each.groupBy("v").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).where("n > 1")
-    # the windows that occur again go to every part, the many places to one each
-    each = each.withColumn("salt", F.pmod(F.xxhash64("key", "at"), F.lit(SALTS)).cast("int"))
-    met = checkpointed(each.join(shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["v", "salt"]).select("key", F.col("at").alias("start"), "v", "low", "high"))
-    end, none = (F.col("start") + least).alias("end"), F.lit(None).cast("long")
-    ranges = met.where("low != high").select("key", "start", end, F.lit(False).alias("within"), none.alias("other"))
-    # a text's own places of a window
-    inner = met.groupBy("v", "key").agg(F.collect_list("start").alias("starts")).where("size(starts) > 1").select("key", F.explode("starts").alias("start"))
-    inner = inner.select("key", "start", end, F.lit(True).alias("within"), none.alias("other"))
-    edges = met.where("key != low").select("key", none.alias("start"), none.alias("end"), F.lit(None).cast("boolean").alias("within"), F.col("low").alias("other")).distinct()
-    return ranges.union(inner).union(edges)
+def _scan_windows(least: int):
+    """Read windows sorted by digest and key as a stream and give FOUND, and apart, with their digest, the first and last digest's key and open places.
+
+    A digest's places of its least key stay open until another key comes; they are
+    those of one text.  Whether one comes in another task is decided afterwards.
+    """
+    names = ["key", "start", "end", "within", "other", "v1", "v2", "shared"]
+
+    def rows(key, start=None, within=None, other=None, v=None, shared=None):
+        n = len(key)
+        none = pa.nulls(n, pa.int64())
+        start, end = (none, none) if start is None else (pa.array(start), pa.array(start + least))
+        v1, v2 = (none, none) if v is None else (pa.array(np.full(n, x)) for x in v)
+        flag = lambda x: pa.array([x] * n, pa.bool_())
+        return pa.record_batch([pa.array(key), start, end, flag(within), none if other is None else pa.array(other), v1, v2, flag(shared)], names=names)
+
+    def batches(it):
+        held = None  # the rows of the last digest and key
+        run = None  # the last digest, its least key, whether it is shared, and its open places
+        begun = False
+
+        def bound(v, low, shared, open_):
+            yield rows(np.array([low]), v=v, shared=shared)
+            if len(open_):
+                yield rows(np.full(len(open_), low), open_, v=v, shared=shared)
+
+        def scanned(v1, v2, key, at):
+            nonlocal run, begun
+            new = np.concatenate([[True], (v1[1:] != v1[:-1]) | (v2[1:] != v2[:-1])])
+            goes_on = run is not None and run[0] == (v1[0], v2[0])
+            cut = np.flatnonzero(new)
+            size = np.diff(np.append(cut, len(key)))
+            low, high = key[cut].copy(), key[np.append(cut[1:], len(key)) - 1]
+            shared = low != high
+            if goes_on:
+                low[0] = run[1]
+                shared[0] |= run[2] or high[0] != low[0]
+                if shared[0] and len(run[3]):
+                    yield rows(np.full(len(run[3]), run[1]), run[3], within=False)
+            if run is not None and not goes_on and not begun:
+                yield from bound(*run)
+                begun = True
+            if len(cut) > 1 and not begun:
+                begun = True
+                first = at[: cut[1]] if not shared[0] else at[:0]
+                yield from bound((v1[0], v2[0]), low[0], bool(shared[0]), np.concatenate([run[3], first]) if goes_on and not shared[0] else first)
+            each_low, each = np.repeat(low, size), np.repeat(shared, size)
+            yield rows(key[each], at[each], within=False)
+            linked = each & (key != each_low)
+            a, b = spanning_forest(key[linked], each_low[linked])
+            yield rows(a, other=b)
+            same = (key[1:] == key[:-1]) & ~new[1:]
+            again = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            yield rows(key[again], at[again], within=True)
+            open_ = at[:0] if shared[-1] else at[cut[-1] :]
+            run = ((v1[-1], v2[-1]), low[-1], bool(shared[-1]), np.concatenate([run[3], open_]) if goes_on and len(cut) == 1 and not shared[-1] else open_)
+
+        for b in it:
+            if not b.num_rows:
+                continue
+            part = [b.column(c).to_numpy() for c in ("v1", "v2", "key", "at")]
+            part = [np.concatenate(x) for x in zip(held, part)] if held else part
+            last = int(np.argmax(np.logical_and.reduce([x == x[-1] for x in part[:3]])))
+            if last:
+                yield from scanned(*(x[:last] for x in part))
+            held = [x[last:] for x in part]
+        if held:
+            yield from scanned(*held)
+            yield from bound(*run)
+
+    return batches
+
+
+def _sorted_windows(each: DataFrame, least: int) -> DataFrame:
+    """FOUND for the windows (key, at, v1, v2) of the suffixes of very common hashes: sorted over all tasks, so that a window's places may lie in several."""
+    dealt = each.repartitionByRange("v1", "v2", "key").sortWithinPartitions("v1", "v2", "key")
+    out = checkpointed(dealt.mapInArrow(_scan_windows(least), FOUND + ", v1 long, v2 long, shared boolean"))
+    # at most two digests a task, each with the places of one text
+    ends = out.where("v1 is not null").groupBy("v1", "v2").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.bool_or("shared").alias("shared"), F.collect_set(F.struct("key", "start", "end")).alias("places"))
+    ends = ends.where("low != high or shared").select("low", F.explode("places").alias("x")).select("low", "x.*")
+    none = F.lit(None).cast("long")
+    ranges = ends.where("start is not null").select("key", "start", "end", F.lit(False).alias("within"), none.alias("other"))
+    edges = ends.where("key != low").select("key", none.alias("start"), none.alias("end"), F.lit(None).cast("boolean").alias("within"), F.col("low").alias("other")).distinct()
+    return out.where("v1 is null").select("key", "start", "end", "within", "other").union(ranges).union(edges)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM, hot: int | None = None) -> DataFrame:
@@ -340,10 +410,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         # two ways of comparing read what the texts gave once
         along.write.parquet(place)
         along = docs.sparkSession.read.parquet(place)
-    dealt_out = along.where("h is not null").drop("v").repartition("h").sortWithinPartitions("h")
+    dealt_out = along.where("h is not null").drop("v1", "v2").repartition("h").sortWithinPartitions("h")
     found = dealt_out.mapInArrow(_compare(least), FOUND)
     if common:
-        found = found.union(_counted(along.where("v is not null").select("key", "at", "v"), least))
+        found = found.union(_sorted_windows(along.where("v1 is not null").select("key", "at", "v1", "v2"), least))
     found = checkpointed(found)
     remove(docs.sparkSession, place)
 

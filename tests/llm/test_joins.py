@@ -179,6 +179,49 @@ def test_passages_of_text_ids_and_long_texts(spark):
     assert (got["c"].n_repeated, got["c"].n_within, got["c"].class_id) == (0, 20_000, "c")
 
 
+@pytest.mark.parametrize(("parts", "size"), [(1, 1), (1, 1000), (5, 3), (40, 2)])
+def test_sorted_windows_equal_a_count(parts, size):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(parts)
+    v, key = rng.integers(0, 12, 300), rng.integers(0, 15, 300)
+    v[:120], key[-60:] = 3, 4
+    rows = sorted({(int(a), 0, int(k), n) for n, (a, k) in enumerate(zip(v, key))})
+    cuts = sorted(rng.choice(len(rows), parts - 1, replace=False).tolist())
+    # a digest and key are in one task
+    cuts = [next(c for c in range(c, len(rows) + 1) if c in (0, len(rows)) or rows[c][:3] != rows[c - 1][:3]) for c in cuts]
+    got, ends = {False: set(), True: set()}, {}
+    edges = []
+    for lo, hi in zip([0, *cuts], [*cuts, len(rows)]):
+        own = [pa.RecordBatch.from_pylist([dict(zip(("v1", "v2", "key", "at"), r)) for r in rows[i : min(i + size, hi)]]) for i in range(lo, hi, size)]
+        for b in passages._scan_windows(50)(iter(own)):
+            for r in b.to_pylist():
+                if r["v1"] is not None:
+                    ends.setdefault(r["v1"], []).append(r)
+                elif r["other"] is not None:
+                    edges.append((r["key"], r["other"]))
+                else:
+                    got[r["within"]].add((r["key"], r["start"]))
+    for found in ends.values():
+        low = min(r["key"] for r in found)
+        if any(r["shared"] or r["key"] != low for r in found):
+            got[False] |= {(r["key"], r["start"]) for r in found if r["start"] is not None}
+            edges += [(r["key"], low) for r in found if r["key"] != low]
+    want, inner, groups = set(), set(), []
+    for a in range(12):
+        mine = [(k, n) for w, _, k, n in rows if w == a]
+        if len({k for k, _ in mine}) > 1:
+            want |= set(mine)
+            groups.append({k for k, _ in mine})
+        inner |= {(k, n) for k, n in mine if [x for x, _ in mine].count(k) > 1}
+    assert got == {False: want, True: inner}
+    from millrace.llm.components import spanning_forest
+
+    u, low = spanning_forest(*np.array(edges).T)
+    of = dict(zip(u.tolist(), low.tolist()))
+    assert all(len({of.get(k, k) for k in g}) == 1 for g in groups)
+
+
 def test_every_long_window_has_a_selected_place():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 2**63, 400, dtype=np.uint64)
