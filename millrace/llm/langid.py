@@ -36,9 +36,10 @@ SAMPLE_DOCS = 48
 SAMPLE_SYMBOLS = 24_000
 SAMPLE_TOTAL = 1_200_000
 #: Symbols that are walked in one lane.
-SEGMENT = 1024
-#: Characters that are reduced and parsed at once.
-CHUNK = 3_000_000
+SEGMENT = 512
+#: Characters that are reduced and parsed at once, and texts that are held as Python objects at a time.
+CHUNK = 1_000_000
+SLICE = 500
 #: Places that are tried for a row of the comb before it goes to the end.
 TRIES = 64
 
@@ -334,8 +335,11 @@ def predictor(parser: CrossParser):
     @F.arrow_udf("struct<lang: string, score: double, explained: boolean>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            names, scores, explained = parser.predict(b.to_pylist())
-            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(explained, pa.bool_())], fields=list(_RESULT))
+            parts = []
+            for lo in range(0, max(1, len(b)), SLICE):
+                names, scores, explained = parser.predict(b.slice(lo, SLICE).to_pylist())
+                parts.append(pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(explained, pa.bool_())], fields=list(_RESULT)))
+            yield pa.concat_arrays(parts)
 
     return predict
 

@@ -30,6 +30,8 @@ BITS = 64
 #: Axes of a half, and the bits that hold their counts.
 HALF = 16
 HALVES = ((1 << 2 * HALF) - 1, -(1 << 2 * HALF))
+#: Texts that are held as Python objects at a time.
+SLICE = 500
 #: Rows of a cell that are compared at once; larger cells go block by block.
 BLOCK = 2048
 #: A fingerprint of over one part in HEAVY of all rows is heavy. There are fewer than HEAVY of these, so their list is broadcast.
@@ -75,7 +77,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def batches(it):
         for b in it:
-            fp = [fingerprint(shingle_hashes(t, width)) for t in b.column("text").to_pylist()]
+            # texts become Python objects a slice at a time
+            fp = [fingerprint(shingle_hashes(t, width)) for lo in range(0, b.num_rows, SLICE) for t in b.column("text").slice(lo, SLICE).to_pylist()]
             yield pa.record_batch([b.column("id"), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), *(b.column(c) for c in more)], names=["id", "fp", *more])
 
     kind = docs.schema[id_col].dataType.simpleString()
