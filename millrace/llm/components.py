@@ -59,20 +59,18 @@ def _beside_least(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
     return edges.join(listed, "u").unionByName(rest)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, contracted: bool = False) -> DataFrame:
     """(node, component) for each node of an edge table (u, v of type long).
 
+    contracted says that the edges come as forests of large batches already.
+
     component is the smallest node reachable.  Self-edges, repeated edges and
     edges in both directions are allowed; edges with a null end are ignored; an
     empty table gives an empty result.
     """
     plain = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
-    now = checkpointed(
-        plain.where("u != v")
-        .mapInPandas(_local_forests, "u long, v long")
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .distinct()
-    )
+    plain = plain.where("u != v") if contracted else plain.where("u != v").mapInPandas(_local_forests, "u long, v long")
+    now = checkpointed(plain.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

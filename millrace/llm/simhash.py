@@ -195,7 +195,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
 def _grouped(marked: DataFrame, radius: int) -> DataFrame:
     """(fp, group) of the fingerprints of marked; group is the least fingerprint, as a long, that is reachable."""
     distinct = checkpointed(marked.select("fp").distinct())
-    groups = connected_components(fingerprint_links(distinct, radius)).withColumnRenamed("node", "fp")
+    groups = connected_components(fingerprint_links(distinct, radius), contracted=True).withColumnRenamed("node", "fp")
     return distinct.join(groups, "fp", "left").select("fp", F.coalesce("component", "fp").alias("group"))
 
 
