@@ -7,7 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from .scalars import iso_utc
 
@@ -20,44 +20,61 @@ def encode(data: Column, kind: str, received_at: Column, source: str, version: s
     return F.to_json(F.struct(*fields, *([F.lit(version).alias("v")] if version else [])))
 
 
-def is_poison(value: Column) -> Column:
-    """Whether a value is no envelope: null, not JSON, not an object, or without an object as data.
+def _read(value: str | None):
+    """What a strict JSON reader makes of a value; None where it is no JSON, or nested too deep to be read."""
+    try:
+        return json.loads(value) if isinstance(value, str) else None
+    except (ValueError, RecursionError):
+        return None
+
+
+def _envelopes(values: pd.Series) -> pd.DataFrame:
+    """is_poison and type of each value."""
+    parsed = [_read(v) for v in values]
+    good = [isinstance(p, dict) and isinstance(p.get("data"), dict) for p in parsed]
+    kinds = [str(p["type"]).encode("utf-8", "replace").decode() if ok and "type" in p else None for ok, p in zip(good, parsed)]
+    return pd.DataFrame({"is_poison": [not ok for ok in good], "type": kinds})
 
-    Evaluated on VARIANT inside the JVM.  It differs from a strict JSON reader in
-    three cases: it takes text after the object, and refuses NaN and repeated keys;
-    is_poison_exact has none of them.
-    """
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(value), "$.data", "variant"))
-    return ~F.coalesce(kind.like("OBJECT%"), F.lit(False))
 
+#: A value's poison test and type in one parse.  Not deterministic to the optimiser, so that no filter makes it parse again.
+_envelope = F.pandas_udf(_envelopes, StructType([StructField("is_poison", BooleanType()), StructField("type", StringType())])).asNondeterministic()
 
-@F.pandas_udf(BooleanType())
-def is_poison_exact(value: pd.Series) -> pd.Series:
-    """As is_poison, by a strict JSON reader."""
 
-    def bad(v) -> bool:
-        try:
-            parsed = json.loads(v) if isinstance(v, str) else None
-        except ValueError:
-            return True
-        return not (isinstance(parsed, dict) and isinstance(parsed.get("data"), dict))
+@F.pandas_udf(StringType())
+def original_message(value: pd.Series) -> pd.Series:
+    """A value as JSON: itself where it is an object, else the object that has it as raw."""
+    parsed = ((v, _read(v)) for v in value)
+    return pd.Series([json.dumps(p if isinstance(p, dict) else {"raw": v if isinstance(v, str) else None}) for v, p in parsed], dtype=object)
 
-    return value.map(bad)
 
+def _loose(value: Column) -> Column:
+    """(is_poison, type) on VARIANT, parsed once: the value is bound as an element of an array of one."""
 
-def envelope_type(value: Column) -> Column:
-    """The type as text, null where absent; JSON null reads None, true and false True and False."""
-    parsed = F.try_parse_json(value)
-    kind = F.schema_of_variant(F.try_variant_get(parsed, "$.type", "variant"))
-    text = F.try_variant_get(parsed, "$.type", "string")
-    return F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
+    def read(parsed: Column) -> Column:
+        data = F.schema_of_variant(F.try_variant_get(parsed, "$.data", "variant"))
+        kind = F.schema_of_variant(F.try_variant_get(parsed, "$.type", "variant"))
+        text = F.try_variant_get(parsed, "$.type", "string")
+        bad = ~F.coalesce(data.like("OBJECT%"), F.lit(False))
+        said = F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
+        return F.struct(bad.alias("is_poison"), F.when(~bad, said).alias("type"))
 
+    return F.transform(F.array(F.try_parse_json(value)), read)
 
-def decode(rows: DataFrame, value_col: str = "value", exact: bool = False) -> DataFrame:
-    """rows with is_poison and type; a poison row has no type."""
-    bad = (is_poison_exact if exact else is_poison)(F.col(value_col))
-    marked = rows.withColumn("is_poison", bad)
-    return marked.withColumn("type", F.when(~F.col("is_poison"), envelope_type(F.col(value_col))))
+
+def decode(rows: DataFrame, value_col: str = "value", exact: bool = True) -> DataFrame:
+    """rows with is_poison and type; poison is what is null, not JSON, not an object, or without an object as data.
+
+    A poison row has no type; an absent type is null, a JSON null reads None, true
+    and false True and False.  A value is parsed once, by a strict JSON reader: it
+    takes NaN and repeated keys, the last of which counts, and no text after the
+    object; what is nested too deep for it is poison.  Not `exact`, the parser is the
+    JVM's, which takes text after the object and refuses NaN and repeated keys.
+    """
+    if exact:
+        name = "__envelope"
+        return rows.withColumn(name, _envelope(F.col(value_col))).select(*rows.columns, f"{name}.is_poison", f"{name}.type")
+    # a generator's rows: no filter on them is pushed below the parse
+    return rows.select("*", F.inline(_loose(F.col(value_col))))
 
 
 def poison_preview(value: Column) -> Column:
@@ -72,8 +89,7 @@ def passes_gate(kind: Column, expected: str | None) -> Column:
 
 def dlq_payload(value: Column, kind: Column, category: str, error: Column, stage: str, partition: Column, offset: Column, key: Column, at: Column) -> Column:
     """The dead-letter message; the original is kept as an object, or under raw where it isn't one."""
-    parsed = F.try_parse_json(value)
-    original = F.when(F.schema_of_variant(parsed).like("OBJECT%"), value).otherwise(F.to_json(F.struct(value.alias("raw"))))
+    original = original_message(value)
     head = F.to_json(
         F.struct(
             kind.alias("type"),

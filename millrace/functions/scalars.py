@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Error numbers of data and of infrastructure, and words of infrastructure errors.
 DATA_CODES = (8152, 2628, 8114, 8169, 245, 2627, 2714, 547, 233, 515)
 INFRA_CODES = (1205, 1204, 1222, -2, 4060, 18456, 40197, 40613, 40501, 49918, 49919, 49920)
 INFRA_WORDS = ("connection", "timeout", "broken pipe", "reset by peer", "closed", "login failed", "pool")
@@ -41,14 +42,27 @@ def dialect(url: Column) -> Column:
 
 
 def iso_utc(ts: Column) -> Column:
-    """ISO time in UTC with milliseconds and Z; the session's zone is taken as UTC."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """ISO time in UTC with milliseconds and Z, whatever the session's zone; a time without zone is taken as UTC."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    at = epoch + F.make_dt_interval(secs=(F.unix_micros(ts.cast("timestamp")) / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)"))
+    # as text, so that no zone takes part
+    text = F.when(F.typeof(ts) == "timestamp_ntz", ts.cast("string")).otherwise(at.cast("string"))
+    return F.concat(F.replace(F.substring(text, 1, 19), F.lit(" "), F.lit("T")), F.lit("."), F.rpad(F.substring(text, 21, 3), 3, "0"), F.lit("Z"))
+
+
+_ISO = r"^(\d{4}-\d{2}-\d{2}).(\d{2}:\d{2})(:\d{2})?(?:[.,](\d+))?(?:(Z)|([+-]\d{2}):?(\d{2}))?$"
 
 
 def jsonable(text: Column) -> Column:
-    """A string that reads as a date and time becomes ISO; any other stays."""
-    looks = (F.length(text) >= 19) & (F.substring(text, 5, 1) == "-") & (F.substring(text, 8, 1) == "-")
-    return F.when(looks, F.coalesce(F.date_format(F.try_to_timestamp(text), "yyyy-MM-dd'T'HH:mm:ss"), text)).otherwise(text)
+    """A string that reads as a date and time becomes ISO, with its microseconds, if any, and its offset; any other stays."""
+    looks = (F.length(text) >= 19) & (F.substring(text, 5, 1) == "-") & (F.substring(text, 8, 1) == "-") & text.rlike(_ISO)
+    part = lambda k: F.regexp_extract(text, _ISO, k)
+    second = F.when(part(3) == "", ":00").otherwise(part(3))
+    micros = F.rpad(F.substring(part(4), 1, 6), 6, "0")
+    offset = F.when(part(5) == "Z", "+00:00").when(part(6) != "", F.concat(part(6), F.lit(":"), part(7))).otherwise("")
+    there = F.try_to_timestamp(F.concat(part(1), F.lit(" "), part(2), second, F.lit("+00:00"))).isNotNull()
+    made = F.concat(part(1), F.lit("T"), part(2), second, F.when((part(4) != "") & (micros != "000000"), F.concat(F.lit("."), micros)).otherwise(""), offset)
+    return F.when(looks, F.when(there, made).otherwise(text)).otherwise(text)
 
 
 def parse_summary(text: Column) -> Column:
@@ -57,9 +71,16 @@ def parse_summary(text: Column) -> Column:
 
 
 def is_falsy(value: Column, kind: str) -> Column:
-    """Missing by truth value: null, the empty string, zero, false."""
-    empty = {"string": "", "boolean": False}.get(kind, 0)
-    return value.isNull() | (value == F.lit(empty))
+    """Missing by truth value: null, what is empty, zero, false; a date or time is missing only if it is null."""
+    if kind == "string" or kind.startswith(("char", "varchar")):
+        return value.isNull() | (value == F.lit(""))
+    if kind == "boolean":
+        return value.isNull() | ~value
+    if kind.startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")) and not kind.startswith("interval"):
+        return value.isNull() | (value == F.lit(0))
+    if kind == "binary":
+        return value.isNull() | (F.length(value) == 0)
+    return value.isNull() | (F.size(value) == 0) if kind.startswith(("array", "map")) else value.isNull()
 
 
 def chunk_of(row_number: Column, fields: int, budget: int = 2000) -> Column:

@@ -55,33 +55,65 @@ def admit(rows: DataFrame, identity: str, order: list[str], backfill: DataFrame
         return rows.select("*", F.lit("reject").alias("decision"), F.lit(reason).alias("via"), F.lit(RETRY_AFTER[reason]).alias("retry_after"))
     if not reachable and fail_closed:
         return rows.select("*", F.lit("reject").alias("decision"), F.lit("redis_unavailable").alias("via"), F.lit(RETRY_AFTER["redis_unavailable"]).alias("retry_after"))
-    known = backfill.select(F.col(backfill_key or identity).alias("__known")).distinct()
-    joined = rows.join(known, rows[identity] == known["__known"], "left")
-    hit = F.col("__known").isNotNull()
+    known = backfill.select(F.col(backfill_key or identity).alias("__known"), F.lit(True).alias("__there")).distinct()
+    joined = rows.join(known, rows[identity].eqNullSafe(known["__known"]), "left")
+    hit = F.coalesce("__there", F.lit(False))
     if not reachable:
         out = joined.withColumn("decision", F.when(hit, "duplicate").otherwise("allow")).withColumn("via", F.lit("direct"))
     else:
-        nth = F.row_number().over(Window.partitionBy(identity).orderBy(*order))
-        out = joined.withColumn("__n", nth).withColumn("decision", F.when(hit | (F.col("__n") > 1), "duplicate").otherwise("allow"))
-        out = out.withColumn("via", F.when(hit & (F.col("__n") == 1), "backfill").when(F.col("__n") > 1, "cache").otherwise("reserve")).drop("__n")
-    return out.drop("__known").withColumn("retry_after", F.lit(None).cast("int"))
+        # the first row of a key is a minimum, which combines before it shuffles
+        at = F.struct(*order)
+        first = rows.groupBy(F.col(identity).alias("__id")).agg(F.min(at).alias("__first"))
+        out = joined.join(first, joined[identity].eqNullSafe(first["__id"])).withColumn("__later", at > F.col("__first"))
+        out = out.withColumn("decision", F.when(hit | F.col("__later"), "duplicate").otherwise("allow"))
+        out = out.withColumn("via", F.when(F.col("__later"), "cache").when(hit, "backfill").otherwise("reserve")).drop("__id", "__first", "__later")
+    return out.drop("__known", "__there").withColumn("retry_after", F.lit(None).cast("int"))
 
 
-def admit_group(rows: DataFrame, group: str, identity: str, order: list[str], backfill: DataFrame) -> DataFrame:
-    """rows with decision and stage of the group carrier; backfill has the columns (group, identity).
+def admit_group(
+    rows: DataFrame, group: str, identity: str, order: list[str], backfill: DataFrame | None, failed: DataFrame | None = None, reachable: bool = True, fail_closed: bool = True
+) -> DataFrame:
+    """rows with decision, stage and retry_after of the group carrier over an empty cache; backfill has the columns (group, identity).
 
     A group's first row loads the whole group; later rows meet the cached group
     and touch no source.  A row is a duplicate if its identity was loaded or seen.
+    A null group is a group and a null identity an identity.  Rows of equal order
+    are told apart by nothing, so the order should be unique.
+
+    Without a backfill source, and for groups in `failed` (column group), whose load
+    fails, every row is rejected (dependency).  With the cache out of reach a row is
+    rejected, or, failing open, decided by the backfill alone without a reservation.
     """
-    known = backfill.select(F.col(group).alias("__g"), F.col(identity).alias("__i")).distinct()
-    joined = rows.join(known, (rows[group] == known["__g"]) & (rows[identity] == known["__i"]), "left")
-    # both first rows are minima, which combine before they shuffle
-    of_group = rows.groupBy(group).agg(F.min(F.struct(*order)).alias("__first"))
-    of_member = rows.groupBy(group, identity).agg(F.min(F.struct(*order)).alias("__member"))
-    at = F.struct(*order)
-    out = joined.join(of_group, group).join(of_member, [group, identity])
-    out = out.withColumn("decision", F.when(F.col("__i").isNotNull() | (at > F.col("__member")), "duplicate").otherwise("allow"))
-    return out.withColumn("stage", F.when(at == F.col("__first"), "load").otherwise("cached")).drop("__g", "__i", "__first", "__member")
+    none = F.lit(None).cast("int")
+
+    def rejected(some: DataFrame, reason: str) -> DataFrame:
+        return some.select("*", F.lit("reject").alias("decision"), F.lit(reason).alias("stage"), F.lit(RETRY_AFTER[reason]).alias("retry_after"))
+
+    if not reachable and fail_closed:
+        return rejected(rows, "redis_unavailable")
+    if backfill is None:
+        return rejected(rows, "dependency")
+    lost = None
+    if failed is not None:
+        bad = failed.select(F.col(group).alias("__bad")).distinct()
+        same = rows[group].eqNullSafe(bad["__bad"])
+        lost, rows = rejected(rows.join(bad, same, "left_semi"), "dependency"), rows.join(bad, same, "left_anti")
+    known = backfill.select(F.col(group).alias("__g"), F.col(identity).alias("__i"), F.lit(True).alias("__there")).distinct()
+    joined = rows.join(known, rows[group].eqNullSafe(known["__g"]) & rows[identity].eqNullSafe(known["__i"]), "left").drop("__g", "__i")
+    hit = F.coalesce("__there", F.lit(False))
+    if not reachable:
+        out = joined.withColumn("decision", F.when(hit, "duplicate").otherwise("allow")).withColumn("stage", F.lit("direct")).drop("__there")
+    else:
+        # both first rows are minima, which combine before they shuffle
+        of_group = rows.groupBy(F.col(group).alias("__g")).agg(F.min(F.struct(*order)).alias("__first"))
+        of_member = rows.groupBy(F.col(group).alias("__mg"), F.col(identity).alias("__mi")).agg(F.min(F.struct(*order)).alias("__member"))
+        at = F.struct(*order)
+        out = joined.join(of_group, joined[group].eqNullSafe(of_group["__g"]))
+        out = out.join(of_member, out[group].eqNullSafe(of_member["__mg"]) & out[identity].eqNullSafe(of_member["__mi"]))
+        out = out.withColumn("decision", F.when(hit | (at > F.col("__member")), "duplicate").otherwise("allow"))
+        out = out.withColumn("stage", F.when(at == F.col("__first"), "load").otherwise("cached")).drop("__g", "__mg", "__mi", "__there", "__first", "__member")
+    out = out.withColumn("retry_after", none)
+    return out if lost is None else out.unionByName(lost)
 
 
 def collapse_last(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

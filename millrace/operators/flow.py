@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,30 +19,26 @@ def assign_batches(rows: DataFrame, partition: str, offset: str, size: int, poll
     return rows.withColumn("batch", F.floor(F.col(offset) / step).cast("long"))
 
 
-def locate(rows: list, probe: Callable[[object], bool]) -> tuple[str, list, list]:
-    """Which of a failed batch's rows are poison: (done or aborted, handled, quarantined), in one pass on the driver.
+def locate(rows: Iterable, probe: Callable[[object], bool]) -> tuple[str, int, list]:
+    """Which of a failed batch's rows are poison: (done or aborted, rows handled, rows quarantined), in one pass over a stream.
 
     A bad row needs a control: the latest good row probed again, else the next row.
     If the control fails too, the outlet is suspect and the pass is aborted.  A
     last bad row with nothing to compare is quarantined.
     """
-    handled, quarantined, good, k = [], [], None, 0
-    while k < len(rows):
-        row = rows[k]
-        k += 1
+    left = iter(rows)
+    handled, quarantined, good = 0, [], None
+    for row in left:
         if probe(row):
-            handled.append(row)
-            good = row
+            handled, good = handled + 1, row
             continue
         if good is not None:
             if not probe(good):
                 return "aborted", handled, quarantined
-        elif k < len(rows):
-            if not probe(rows[k]):
+        elif (control := next(left, None)) is not None:
+            if not probe(control):
                 return "aborted", handled, quarantined
-            handled.append(rows[k])
-            good = rows[k]
-            k += 1
+            handled, good = handled + 1, control
         quarantined.append(row)
     return "done", handled, quarantined
 

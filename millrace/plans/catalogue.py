@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, scalars
-from ..operators import dedup, flow, upsert
+from ..operators import carrier, dedup, flow, upsert
 
 DAY = 86_400_000_000
 #: (table, query, SQL) by name, filled by @query.
@@ -70,12 +70,12 @@ def envelope_encode(spark, sf_dir):
 
 @query(f"WITH {WIRE_SQL} SELECT event_id, is_poison, type FROM typed")
 def envelope_decode(spark, sf_dir):
-    return codec.decode(wire(spark, sf_dir)).select("event_id", "is_poison", "type")
+    return codec.decode(wire(spark, sf_dir), exact=False).select("event_id", "is_poison", "type")
 
 
 @query(f"WITH {WIRE_SQL} SELECT event_id, is_poison, type FROM typed")
 def envelope_decode_exact(spark, sf_dir):
-    return codec.decode(wire(spark, sf_dir), exact=True).select("event_id", "is_poison", "type")
+    return codec.decode(wire(spark, sf_dir)).select("event_id", "is_poison", "type")
 
 
 @query(f"WITH {WIRE_SQL} SELECT event_id, substr(value, 1, 500) AS preview FROM dec WHERE is_poison")
@@ -141,16 +141,13 @@ def dedup_persist_heartbeat(spark, sf_dir):
 
 
 @query(
-    """SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 OR n > 1 THEN 'duplicate' ELSE 'allow' END AS decision,
- CASE WHEN n > 1 THEN 'cache' WHEN o_custkey % 2 = 0 THEN 'backfill' ELSE 'reserve' END AS via
- FROM (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders)
- WHERE o_custkey % 2 = 1 OR o_custkey IN (SELECT c_custkey FROM customer)"""
+    """SELECT o_orderkey, CASE WHEN known OR n > 1 THEN 'duplicate' ELSE 'allow' END AS decision, CASE WHEN n > 1 THEN 'cache' WHEN known THEN 'backfill' ELSE 'reserve' END AS via
+ FROM (SELECT o_orderkey, o_custkey % 2 = 0 AND o_custkey IN (SELECT c_custkey FROM customer) AS known, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders)"""
 )
 def admit_with_backfill(spark, sf_dir):
     stored = _table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"))
     rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    known = rows.join(stored, "o_custkey", "left_semi").unionByName(rows.where("o_custkey % 2 = 1"))
-    return dedup.admit(known, "o_custkey", ["o_orderdate", "o_orderkey"], stored).select("o_orderkey", "decision", "via")
+    return dedup.admit(rows, "o_custkey", ["o_orderdate", "o_orderkey"], stored).select("o_orderkey", "decision", "via")
 
 
 @query("SELECT o_orderkey, 'reject' AS decision, 'dependency' AS via, CAST(5 AS INTEGER) AS retry_after FROM orders")
@@ -181,6 +178,27 @@ def push_verdicts(spark, sf_dir):
     return d.select("event_id", dedup.push_verdict(F.col("rejecting"), F.col("decision"), F.col("event_id") % 41 != 0).alias("kind"))
 
 
+@query(
+    f"""WITH RECURSIVE r AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+ f AS (SELECT user_id, rn, event_id, event_id AS winner_id, t + {DAY} AS until, CASE WHEN user_id % 5 = 0 THEN 'duplicate' ELSE 'allow' END AS decision, CASE WHEN user_id % 5 = 0 THEN 'backfill' ELSE 'reserve' END AS via FROM r WHERE rn = 1
+ UNION ALL SELECT r.user_id, r.rn, r.event_id, CASE WHEN r.t >= f.until THEN r.event_id ELSE f.winner_id END, CASE WHEN r.t >= f.until THEN r.t + {DAY} ELSE f.until END,
+ CASE WHEN r.t < f.until OR r.user_id % 5 = 0 THEN 'duplicate' ELSE 'allow' END, CASE WHEN r.t < f.until THEN 'cache' WHEN r.user_id % 5 = 0 THEN 'backfill' ELSE 'reserve' END
+ FROM f JOIN r ON r.user_id = f.user_id AND r.rn = f.rn + 1) SELECT event_id, decision, via, CASE WHEN user_id % 5 = 0 THEN 'stored' ELSE CAST(winner_id AS VARCHAR) END AS summary FROM f"""
+)
+def admission_over_batches(spark, sf_dir):
+    """Events in two batches, the second decided on what the first one left."""
+    e = _table(spark, sf_dir, "events")
+    key, long = F.col("user_id").cast("string"), F.col("event_id")
+    rows = e.select(key.alias("key"), key.alias("identity"), long.cast("string").alias("summary"), _micros("ts").alias("t"), long.alias("sequence"), F.lit(False).alias("force"))
+    stored = e.where("user_id % 5 = 0").select(key.alias("key"), key.alias("identity"), F.lit("stored").alias("summary")).distinct()
+    middle = _table(spark, sf_dir, "events").agg(F.expr("(max(event_id) + min(event_id)) div 2").alias("m"))
+    first = rows.join(F.broadcast(middle), F.col("sequence") <= F.col("m")).drop("m")
+    second = rows.join(F.broadcast(middle), F.col("sequence") > F.col("m")).drop("m")
+    one = carrier.decide(first, spark.range(0).selectExpr("cast(null as string) key", "cast(null as string) identity", "cast(null as string) summary", "cast(null as long) until"), stored, DAY)
+    two = carrier.decide(second, one.state, stored, DAY)
+    return one.rows.union(two.rows).select(F.col("sequence").alias("event_id"), "decision", "via", "summary")
+
+
 _LINE_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
 
@@ -195,10 +213,12 @@ def collapse_last(spark, sf_dir):
 
 def _order_halves(spark, sf_dir):
     o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    return o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("X"))
+    # the target has the orders but those that 4 divides with a rest of 1; the source has these and every third one
+    return o.where("o_orderkey % 4 != 1"), o.where("o_orderkey % 4 = 1 or o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("X"))
 
 
-_MERGED = """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0"""
+_SOURCE = "(o_orderkey % 4 = 1 OR o_orderkey % 3 = 0)"
+_MERGED = f"""SELECT o_orderkey, o_custkey, CASE WHEN {_SOURCE} THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders"""
 
 
 @query(_MERGED)
@@ -208,7 +228,7 @@ def upsert_merge(spark, sf_dir):
 
 
 @query(f"""SELECT 'orders' AS target, count(*) AS n, sum(CASE WHEN o_orderstatus = 'X' THEN 1 ELSE 0 END)::BIGINT AS changed FROM ({_MERGED})
- UNION ALL SELECT 'customers', count(DISTINCT o_custkey), count(DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END) FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0""")
+ UNION ALL SELECT 'customers', count(DISTINCT o_custkey), count(DISTINCT CASE WHEN {_SOURCE} THEN o_custkey END) FROM orders""")
 def upsert_multi_target(spark, sf_dir):
     target, source = _order_halves(spark, sf_dir)
     count = lambda name, df, changed: df.agg(F.lit(name).alias("target"), F.count("*").alias("n"), F.count_if(changed).cast("long").alias("changed"))
@@ -238,10 +258,18 @@ _ERRORS = [
     ("operational", "Connection reset by peer", "retry"), ("operational", "no such table", "poison"), ("value", "bad key (1205)", "poison"),
     ("timeout", "(2627)", "retry"), ("kafka", "", "retry"), ("data", "out of range", "poison"), ("other", "login (-2) (x)", "retry"), ("other", "unknown", "poison"),
 ]
-_ERROR_ROWS = ", ".join(f"({k}, '{c}', '{m}', '{w}')" for k, (c, m, w) in enumerate(_ERRORS))
+_ERROR_ROWS = ", ".join(f"({k}, '{c}', '{m}')" for k, (c, m, _) in enumerate(_ERRORS))
 
 
-@query(f"SELECT event_id, class, message, verdict FROM events JOIN (VALUES {_ERROR_ROWS}) t(k, class, message, verdict) ON event_id % {len(_ERRORS)} = k")
+_NUMBERS = lambda codes: " OR ".join(f"message LIKE '%({c})%'" for c in codes)
+_WORDS = " OR ".join(f"contains(lower(message), '{w}')" for w in scalars.INFRA_WORDS)
+
+
+@query(
+    f"""WITH t(k, class, message) AS (VALUES {_ERROR_ROWS}) SELECT event_id, class, message, CASE WHEN class IN ('timeout', 'kafka') THEN 'retry' WHEN class = 'value' THEN 'poison'
+ WHEN {_NUMBERS(scalars.DATA_CODES)} THEN 'poison' WHEN {_NUMBERS(scalars.INFRA_CODES)} THEN 'retry' WHEN class IN ('integrity', 'data') THEN 'poison'
+ WHEN class = 'operational' AND ({_WORDS}) THEN 'retry' ELSE 'poison' END AS verdict FROM events JOIN t ON event_id % {len(_ERRORS)} = k"""
+)
 def error_classify(spark, sf_dir):
     rows = F.array(*[F.struct(F.lit(c).alias("class"), F.lit(m).alias("message")) for c, m, _ in _ERRORS])
     e = _table(spark, sf_dir, "events").select("event_id", F.get(rows, (F.col("event_id") % len(_ERRORS)).cast("int")).alias("x")).select("event_id", "x.*")
@@ -305,13 +333,14 @@ def latency_window(spark, sf_dir):
     return w.select("event_type", "s", F.round(F.col("total") / F.col("events"), 6).alias("avg_ms"), F.col("most").alias("max_ms"))
 
 
-@query("""SELECT user_id % 4 AS part, CASE WHEN age > 14400 THEN 'error' WHEN age > 9000 THEN 'warning' ELSE 'ok' END AS level, age FROM
- (SELECT user_id, (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - min(epoch_us(ts))) // 1000000 AS age FROM events WHERE ts >= TIMESTAMP '2024-01-30 12:00:00' GROUP BY user_id) """)
+@query("""SELECT user_id, CASE WHEN age > 2073600 THEN 'error' WHEN age > 1296000 THEN 'warning' ELSE 'ok' END AS level, age FROM
+ (SELECT user_id, (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - max(epoch_us(ts)) + (user_id % 30) * 86400000000) // 1000000 AS age FROM events GROUP BY user_id)""")
 def backlog_level(spark, sf_dir):
-    e = _table(spark, sf_dir, "events").where("ts >= timestamp_ntz '2024-01-30 12:00:00'")
+    # a user's last event counts as handled; what a user is behind differs by whole days so that all levels occur
     as_of = F.unix_micros(F.lit("2024-01-31 00:00:00").cast("timestamp"))
-    age = e.groupBy("user_id").agg(F.min(_micros("ts")).alias("oldest")).select((F.col("user_id") % 4).alias("part"), F.floor((as_of - F.col("oldest")) / 1_000_000).cast("long").alias("age"))
-    return age.select("part", scalars.backlog_level(F.col("age"), 18000).alias("level"), "age")
+    last = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.max(_micros("ts")).alias("last"))
+    age = F.floor((as_of - F.col("last") + (F.col("user_id") % 30) * DAY) / 1_000_000).cast("long")
+    return last.select("user_id", scalars.backlog_level(age, 2_592_000).alias("level"), age.alias("age"))
 
 
 @query("""SELECT sum(greatest(n - greatest(coalesce(done, 0), 0), 0))::BIGINT AS lag FROM (SELECT user_id % 4 AS p, count(*) AS n, CASE WHEN user_id % 4 = 1 THEN NULL ELSE max(CASE WHEN event_id % 3 = 0 THEN event_id END) // 8 END AS done
@@ -368,19 +397,21 @@ def health_snapshot(spark, sf_dir):
     return e.withColumn("status", flow.health(there, there, there)).withColumn("without_backfill", flow.health(there, there, F.lit(None).cast("boolean")))
 
 
-_CONNECTIONS = [
-    ("https://a:1, kafka://b:2 ,c:3", "a:1,b:2,c:3", "mssql"), ("mssql+pyodbc://sa:p@ss@host/db", "mssql+pyodbc://sa:p@ss@host/db", "mssql"), ("sqlite:///x.db", "sqlite:///x.db", "sqlite"),
-    ("HTTP://h:9", "h:9", "mssql"),
-]
-_REDACTED = ["https://a:1, kafka://b:2 ,c:3", "mssql+pyodbc://sa:***@host/db", "sqlite:///x.db", "HTTP://h:9"]
-_CONNECTION_ROWS = ", ".join(f"('{u}', '{b}', '{r}', '{d}')" for (u, b, d), r in zip(_CONNECTIONS, _REDACTED))
+# addresses made from the rows, so that each rule has many inputs
+_ADDRESS = "(CASE c_custkey % 4 WHEN 0 THEN 'HTTPS://' WHEN 1 THEN ' kafka://' WHEN 2 THEN 'sqlite+x://' ELSE '' END || CASE WHEN c_custkey % 3 = 0 THEN 'user:p@s' || c_custkey || '@' ELSE '' END || 'host' || c_custkey || ':9' || CASE WHEN c_custkey % 5 = 0 THEN ', http://b:1 ,,' ELSE '' END)"
 
 
-@query(f"SELECT * FROM (VALUES {_CONNECTION_ROWS}) t(url, brokers, redacted, dialect)")
+@query(
+    f"""WITH a AS (SELECT c_custkey, {_ADDRESS} AS url FROM customer),
+ b AS (SELECT c_custkey, string_agg(p, ',' ORDER BY i) AS brokers FROM (SELECT c_custkey, i, CASE WHEN lower(p) LIKE 'https://%' THEN substr(p, 9) WHEN lower(p) LIKE 'http://%' THEN substr(p, 8)
+ WHEN lower(p) LIKE 'kafka://%' THEN substr(p, 9) ELSE p END AS p FROM (SELECT c_custkey, i, trim(string_split(url, ',')[i]) AS p FROM a, unnest(range(1, len(string_split(url, ',')) + 1)) x(i))) WHERE p <> '' GROUP BY c_custkey)
+ SELECT c_custkey, brokers, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 4 <> 3 THEN split_part(url, 'user:', 1) || 'user:***@host' || split_part(url, '@host', 2) ELSE url END AS redacted,
+ CASE WHEN c_custkey % 4 = 2 THEN 'sqlite' ELSE 'mssql' END AS dialect FROM a JOIN b USING (c_custkey)"""
+)
 def conn_normalize(spark, sf_dir):
-    rows = spark.createDataFrame([(u,) for u, _, _ in _CONNECTIONS], "url string")
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.expr(_ADDRESS).alias("url"))
     u = F.col("url")
-    return rows.select("url", scalars.clean_brokers(u).alias("brokers"), scalars.redact_connection(u).alias("redacted"), scalars.dialect(u).alias("dialect"))
+    return rows.select("c_custkey", scalars.clean_brokers(u).alias("brokers"), scalars.redact_connection(u).alias("redacted"), scalars.dialect(u).alias("dialect"))
 
 
 @query("SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), -1) AS k FROM events")

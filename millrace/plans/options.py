@@ -1,8 +1,9 @@
-"""Validated settings.  Defaults are the pipeline's documented ones; wrong values raise at construction."""
+"""Validated settings.  Defaults are fixed values, the pipeline's documented ones; wrong values raise at construction."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 UNSET = object()
@@ -20,6 +21,9 @@ class KafkaConfig:
     request_timeout_ms: int = 10_000
     max_poll_records: int = 500
     starting_offsets: str = "earliest"
+    group_id: str | None = None
+    session_timeout_ms: int = 30_000
+    max_poll_interval_ms: int = 300_000
 
     def __post_init__(self):
         _positive(request_timeout_ms=self.request_timeout_ms, max_poll_records=self.max_poll_records)
@@ -94,15 +98,16 @@ class ProducerOptions:
 
 @dataclass(frozen=True)
 class DlqOptions:
-    """A dead-letter table; enabled without a path is an error."""
+    """Where dead letters go: a folder, or a function that sends rows (topic, partition, offset, value); enabled without either is an error."""
 
     path: str | None = None
     enabled: bool = True
     send_retries: int = 3
+    send: Callable | None = None
 
     def __post_init__(self):
-        if self.enabled and not self.path:
-            raise ValueError("an enabled dead-letter queue needs a path")
+        if self.enabled and not self.path and self.send is None:
+            raise ValueError("an enabled dead-letter queue needs a path or a function that sends")
         _positive(send_retries=self.send_retries)
 
 
@@ -128,18 +133,18 @@ class ConsumerOptions:
     expected_type: str | None = None
     batch_size: int = 500
     flush_seconds: float = 5.0
-    exact_json: bool = False
+    exact_json: bool = True
     tuning: RuntimeTuning = field(default_factory=RuntimeTuning)
     dlq: DlqOptions = field(default_factory=lambda: DlqOptions(enabled=False))
     metrics: MetricsConfig = field(default_factory=MetricsConfig)
     collapse_keys: tuple[str, ...] = ()
-    #: Rows of a failed batch that the driver may probe one by one.
-    probe_rows: int = 10_000
+    #: Time to live of what inlets remember, against which the backlog's age is judged.
+    state_ttl_seconds: float = 18_000
 
     def __post_init__(self):
         if self.batch_size < 1:
             raise ValueError("batch_size must be 1 or more")
-        _positive(flush_seconds=self.flush_seconds, probe_rows=self.probe_rows)
+        _positive(flush_seconds=self.flush_seconds, state_ttl_seconds=self.state_ttl_seconds)
 
     def merged(self, **overrides) -> ConsumerOptions:
         """These options with every override that isn't UNSET; a value equal to the default overrides too."""

@@ -15,14 +15,17 @@ def has_kafka(spark: SparkSession) -> bool:
     return spark.sparkContext._jvm.java.lang.Thread.currentThread().getContextClassLoader().getResource("org/apache/spark/sql/kafka010/KafkaSourceProvider.class") is not None
 
 
-def kafka_stream(spark: SparkSession, config: KafkaConfig, topic: str) -> DataFrame:
-    """A topic as RECORD rows.  Bytes that are no UTF-8 give a null value, so they are poison and block nothing."""
+def kafka_stream(spark: SparkSession, config: KafkaConfig, topic: str, per_batch: int | None = None) -> DataFrame:
+    """A topic as RECORD rows, `per_batch` of them in a batch, else one poll's.  Bytes that are no UTF-8 give a null value, so they are poison and block nothing."""
     raw = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", config.brokers)
         .option("subscribe", topic)
         .option("startingOffsets", config.starting_offsets)
-        .option("maxOffsetsPerTrigger", config.max_poll_records)
+        .option("maxOffsetsPerTrigger", per_batch or config.max_poll_records)
+        .option("kafka.session.timeout.ms", config.session_timeout_ms)
+        .option("kafka.max.poll.interval.ms", config.max_poll_interval_ms)
+        .options(**({"kafka.group.id": config.group_id} if config.group_id else {}))
         .load()
     )
     text = lambda c: F.when(F.is_valid_utf8(F.col(c).cast("string")), F.col(c).cast("string"))

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from ..operators.dedup import collapse_last
 from ..operators.upsert import Upsert, VersionedTargets, key_missing
 from ..plans.options import ConsumerOptions
+from ..sources.sinks import SqlTargets
 from .pipeline import Consumer, Context
 
 
-def upsert_handler(targets: VersionedTargets, upserts: list[Upsert], order: tuple[str, ...] = ("partition", "offset")) -> Callable[[DataFrame, Context], None]:
+def upsert_handler(targets: VersionedTargets | SqlTargets, upserts: list[Upsert], order: tuple[str, ...] = ("partition", "offset")) -> Callable[[DataFrame, Context], None]:
     """handler(rows, context) that upserts a batch into all targets at once, the last row of a key by `order`.
 
     A target's prepare must keep the columns of `order`.  A missing key is a
@@ -29,11 +30,11 @@ def upsert_handler(targets: VersionedTargets, upserts: list[Upsert], order: tupl
                 raise ValueError(f"a key of {u.name} is missing")
             last = collapse_last(ready, list(u.keys), list(order))
             sources[u.name] = (replace(u, prepare=None).project(last), list(u.keys), None)
-        targets.apply(context.batch, sources)
+        targets.apply(context.batch, sources, context.run)
 
     return handler
 
 
-def upsert_consumer(targets: VersionedTargets, upserts: list[Upsert], options: ConsumerOptions | None = None, **overrides) -> Consumer:
+def upsert_consumer(targets: VersionedTargets | SqlTargets, upserts: list[Upsert], options: ConsumerOptions | None = None, **overrides) -> Consumer:
     """A Consumer that upserts; overrides replace single options."""
     return Consumer(upsert_handler(targets, upserts), (options or ConsumerOptions()).merged(**overrides))

@@ -61,7 +61,7 @@ def test_versioned_targets(spark, tmp_path):
 )
 def test_locate(spark, rows, want):
     outcome, handled, bad = flow.locate(list(rows), lambda r: r == "g")
-    assert (outcome, len(handled), len(bad)) == want
+    assert (outcome, handled, len(bad)) == want
     df = spark.createDataFrame([(1, k, c == "b") for k, c in enumerate(rows)], "batch int, k int, bad boolean")
     got = flow.locate_by_predicate(df, ["batch"], "k", F.col("bad")).first()
     assert (got.outcome, got.handled, got.quarantined) == want
