@@ -31,7 +31,7 @@ class Decisions:
     held: DataFrame
 
 
-def decide(rows: DataFrame, state: DataFrame, backfill: DataFrame | None, ttl: int | None, needs_backfill: bool = True) -> Decisions:
+def decide(rows: DataFrame, state: DataFrame, backfill: DataFrame | None, ttl: int | None, needs_backfill: bool = True, held: bool = True) -> Decisions:
     """Decide rows (key, identity, summary, t, sequence, force) by the remembered state and the stored rows (key, identity, summary).
 
     A key that isn't remembered, or no more, is loaded from the stored rows at its
@@ -39,7 +39,8 @@ def decide(rows: DataFrame, state: DataFrame, backfill: DataFrame | None, ttl: i
     reserved, and a new one renews the whole key.  A duplicate tells the first one's
     summary and renews nothing; a forced row is allowed and renews.  With single
     keys, key and identity are the same.  Where a backfill is needed and there is
-    none, an unknown key is rejected each time.  Nulls are keys like others.
+    none, an unknown key is rejected each time.  Nulls are keys like others.  held
+    says whether what both results read is persisted meanwhile.
     """
     reject = needs_backfill and backfill is None
     far = 1 << 62
@@ -72,7 +73,8 @@ def decide(rows: DataFrame, state: DataFrame, backfill: DataFrame | None, ttl: i
         parts = parts.unionByName(ofs(backfill.select("key", "identity", "summary")).select("*", zero.alias("t"), zero.alias("sequence"), F.lit(False).alias("forced"), none.cast("long").alias("until"), F.lit(_STORED).alias("kind")))
     adds = "decision string, via string, held string, ends long, epoch long"
     start = lambda: (None, {}, {}, 0)
-    folded = ordered_fold(parts.unionByName(new), ["key"], _ORDER, ["kind", "identity", "summary", "t", "until", "forced"], start, step, adds).persist()
+    folded = ordered_fold(parts.unionByName(new), ["key"], _ORDER, ["kind", "identity", "summary", "t", "until", "forced"], start, step, adds)
+    folded = folded.persist() if held else folded
     at = F.struct(*_ORDER)
     last = folded.groupBy(F.col("key").alias("__key")).agg(F.max_by("ends", at).alias("until"), F.max("epoch").alias("last"))
     joined = folded.join(last.withColumnRenamed("until", "__until"), folded["key"].eqNullSafe(last["__key"]))

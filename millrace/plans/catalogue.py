@@ -194,8 +194,8 @@ def admission_over_batches(spark, sf_dir):
     middle = _table(spark, sf_dir, "events").agg(F.expr("(max(event_id) + min(event_id)) div 2").alias("m"))
     first = rows.join(F.broadcast(middle), F.col("sequence") <= F.col("m")).drop("m")
     second = rows.join(F.broadcast(middle), F.col("sequence") > F.col("m")).drop("m")
-    one = carrier.decide(first, spark.range(0).selectExpr("cast(null as string) key", "cast(null as string) identity", "cast(null as string) summary", "cast(null as long) until"), stored, DAY)
-    two = carrier.decide(second, one.state, stored, DAY)
+    one = carrier.decide(first, spark.range(0).selectExpr("cast(null as string) key", "cast(null as string) identity", "cast(null as string) summary", "cast(null as long) until"), stored, DAY, held=False)
+    two = carrier.decide(second, one.state, stored, DAY, held=False)
     return one.rows.union(two.rows).select(F.col("sequence").alias("event_id"), "decision", "via", "summary")
 
 

@@ -27,3 +27,9 @@ def test_catalogue_equals_its_sql(spark):
     rows = lambda d: sorted(tuple(map(cell, r)) for r in d[sorted(d.columns)].itertuples(index=False))
     for name, query in QUERIES.items():
         assert rows(query(spark, SF).toPandas()) == rows(con.sql(ORACLE_SQL[name]).df()), name
+
+
+def test_public_names():
+    import millrace
+
+    assert all(getattr(millrace, name) is not None for name in millrace.__all__) and len(millrace.__all__) > 50
