@@ -315,9 +315,13 @@ def fit(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", t
 
     rows = own_columns(docs.where(usable) if usable is not None else docs, id=id_col, lang=lang_col, text=text_col)
     rows = rows.where("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")), "id")
-    named = rows.select("id", "lang").distinct()
-    picked = checkpointed(named.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS).select("id", "lang"))
+    # only ids whose hash is among the least few of their language, by its number of ids, are put in order
+    place = F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 31))).cast("long")
+    sizes = checkpointed(rows.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")))
+    sizes = F.broadcast(sizes) if sizes.count() <= LISTED_ROWS else sizes
+    near = rows.select("id", "lang", place.alias("place")).join(sizes, "lang").where(F.col("place").cast("double") * F.col("n") < 4.0 * SAMPLE_DOCS * (1 << 31)).select("id", "lang", "place").distinct()
+    order = Window.partitionBy("lang").orderBy("place", "id")
+    picked = checkpointed(near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS).select("id", "lang"))
     languages = picked.select("lang").distinct().count()
     room = max(1, 4 * min(SAMPLE_SYMBOLS, SAMPLE_TOTAL // max(1, languages)) // SAMPLE_DOCS)
     if languages * SAMPLE_DOCS <= LISTED_ROWS:
