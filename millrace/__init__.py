@@ -12,14 +12,15 @@ _WHERE = {
     "millrace.streaming.health": ("inlet_report", "outlet_report", "part_ok", "query_ok", "running"),
     "millrace.streaming.observe": ("BacklogWatch", "JsonLines", "Meter", "emit", "meters"),
     "millrace.streaming.dedup": ("admit_group_stream", "admit_stream"),
+    "millrace.streaming.protocols": ("Admission", "Backpressure", "Decoder", "Encoder", "Targets"),
     "millrace.operators.carrier": ("Carrier", "Decisions", "MemoryCarrier", "decide"),
     "millrace.operators.dedup": ("admit", "admit_group", "collapse_last", "first_wins", "push_verdict", "ttl_wins"),
     "millrace.operators.flow": ("assign_batches", "hysteresis", "hysteresis_by_age", "lag", "locate", "locate_by_predicate", "rate_per_second", "rate_windows"),
     "millrace.operators.upsert": ("Upsert", "VersionedTargets", "key_missing", "latest", "merge"),
     "millrace.functions.codec": ("decode", "dlq_payload", "encode", "passes_gate"),
     "millrace.plans.options": ("BackpressureConfig", "ConsumerOptions", "DbConfig", "DedupOptions", "DlqOptions", "KafkaConfig", "MetricsConfig", "ProducerOptions", "RuntimeTuning", "resolve_db"),
-    "millrace.sources.sinks": ("SqlTargets", "kafka_sink", "table_sink", "upsert_statement"),
-    "millrace.sources.tables": ("RECORD", "backfill", "file_stream", "jdbc_table", "kafka_stream"),
+    "millrace.sources.sinks": ("SqlTargets", "connector", "kafka_sink", "table_sink", "upsert_statement"),
+    "millrace.sources.tables": ("RECORD", "backfill", "file_stream", "jdbc_backfill", "jdbc_table", "kafka_stream"),
 }
 _MODULE = {name: module for module, names in _WHERE.items() for name in names}
 __all__ = sorted(_MODULE)

@@ -96,8 +96,9 @@ class Carrier:
     decisions.  They are kept until the batch after the next one.
     """
 
-    def __init__(self, spark: SparkSession, root: str, ttl: int | None, backfill: DataFrame | None = None, needs_backfill: bool = True):
-        self.spark, self.ttl, self.backfill, self.needs_backfill = spark, ttl, backfill, needs_backfill
+    def __init__(self, spark: SparkSession, root: str, ttl: int | None, backfill: DataFrame | None = None, needs_backfill: bool = True, gate: int | None = None):
+        """gate is how many unknown keys one batch may load; the others are rejected (gate_full) and none or 0 sets no limit."""
+        self.spark, self.ttl, self.backfill, self.needs_backfill, self.gate = spark, ttl, backfill, needs_backfill, gate
         self.tables = VersionedTargets(spark, root)
 
     guarantee = "distributed"
@@ -108,9 +109,34 @@ class Carrier:
 
     def admit(self, rows: DataFrame, batch: int | None = None, run: str = "") -> DataFrame:
         """The decisions of rows (key, identity, summary, t, sequence, force); what they change is remembered first."""
-        self._commit(decide(rows, self.state(), self.backfill, self.ttl, self.needs_backfill), self._next(run) if batch is None else batch, run)
+        number = self._next(run) if batch is None else batch
+        if self.gate and self.backfill is not None:
+            taken, turned = self._gated(rows)
+            found = decide(taken, self.state(), self.backfill, self.ttl, self.needs_backfill)
+            none = F.lit(None).cast("string")
+            late = turned.select("key", "identity", "sequence", F.lit("reject").alias("decision"), F.lit("gate_full").alias("via"), none.alias("summary"), F.lit(RETRY_AFTER["gate_full"]).alias("retry_after"))
+            found = Decisions(found.rows.unionByName(late), found.state, found.held)
+        else:
+            found = decide(rows, self.state(), self.backfill, self.ttl, self.needs_backfill)
+        self._commit(found, number, run)
         return self.tables.read("decisions")
 
+    def _gated(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The rows that may be decided, and those of unknown keys beyond the gate, which the keys pass in the order of their first rows; forced rows pass."""
+        first = rows.where(~F.coalesce("force", F.lit(False))).groupBy(F.col("key").alias("__k")).agg(F.min(F.struct("t", "sequence")).alias("at"))
+        known = self.state().groupBy(F.col("key").alias("__s")).agg(F.max("until").alias("__until"))
+        cold = first.join(known, first["__k"].eqNullSafe(known["__s"]), "left").where("__until is null or at.t >= __until").select("__k", "at")
+        passing = cold.orderBy("at").limit(self.gate).select(F.col("__k").alias("__p"))
+        shut = cold.join(F.broadcast(passing), cold["__k"].eqNullSafe(F.col("__p")), "left_anti").select(F.col("__k").alias("__x"))
+        waits = rows["key"].eqNullSafe(shut["__x"]) & ~F.coalesce(rows["force"], F.lit(False))
+        return rows.join(shut, waits, "left_anti"), rows.join(shut, waits, "left_semi")
+
+    def lookup(self, keys: DataFrame, t: int) -> DataFrame:
+        """What is remembered at the time t of the keys (key): key, identity, summary, and left, the clock units until it ends."""
+        k = keys.select(F.col("key").alias("__key")).distinct()
+        now = self.state().where(F.col("until") > t)
+        return now.join(k, now["key"].eqNullSafe(k["__key"]), "left_semi").select("key", "identity", "summary", (F.col("until") - t).alias("left"))
+
     def _commit(self, found: Decisions, batch: int, run: str) -> None:
         try:
             self.tables.replace(batch, {"state": found.state, "decisions": found.rows}, run)

@@ -14,7 +14,7 @@ from .dedup import collapse_last
 
 @dataclass(frozen=True)
 class Upsert:
-    """A target: its columns, its keys, a name, columns left out, an optional transform of the rows, and types of columns that rows may lack."""
+    """A target: its columns, its keys, a name, columns left out, an optional transform of the rows, types that columns are cast to, and stored names of columns."""
 
     columns: tuple[str, ...]
     keys: tuple[str, ...]
@@ -22,16 +22,26 @@ class Upsert:
     exclude: tuple[str, ...] = ()
     prepare: object = None
     types: dict[str, str] = field(default_factory=dict)
+    stored: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self):
         if not self.keys or not set(self.keys) <= set(self.columns):
             raise ValueError("keys must be there and be among the columns")
 
     def project(self, rows: DataFrame) -> DataFrame:
-        """The target's columns of the prepared rows; a missing one is null, of its type in `types` or a string."""
+        """The target's columns of the prepared rows, cast where `types` says; a missing one is null, of its type in `types` or a string."""
         rows = self.prepare(rows) if self.prepare else rows
-        none = lambda c: F.lit(None).cast(self.types.get(c, "string")).alias(c)
-        return rows.select(*[F.col(c) if c in rows.columns else none(c) for c in self.columns if c not in self.exclude])
+
+        def one(c: str) -> Column:
+            value = F.col(c) if c in rows.columns else F.lit(None)
+            kind = self.types.get(c, None if c in rows.columns else "string")
+            return (value.cast(kind) if kind else value).alias(self.stored.get(c, c))
+
+        return rows.select(*[one(c) for c in self.columns if c not in self.exclude])
+
+    @property
+    def stored_keys(self) -> list[str]:
+        return [self.stored.get(k, k) for k in self.keys]
 
 
 def key_missing(rows: DataFrame, keys: list[str]) -> Column:

@@ -48,6 +48,12 @@ def jdbc_table(spark: SparkSession, db: DbConfig, table: str) -> DataFrame:
     return spark.read.format("jdbc").option("url", db.url).option("dbtable", table).option("queryTimeout", int(db.statement_seconds)).load()
 
 
+def jdbc_backfill(spark: SparkSession, db: DbConfig, table: str, key: str, summary: list[str], scope: Column | None = None, group: str | None = None) -> DataFrame:
+    """backfill() of a stored table over JDBC; a load ends after the configuration's wait with the error of the database."""
+    rows = spark.read.format("jdbc").option("url", db.url).option("dbtable", table).option("queryTimeout", int(db.load_wait_seconds)).load()
+    return backfill(rows, key, summary, scope, group)
+
+
 def lag_of(progress: dict) -> int:
     """The lag of a progress report's sources; a part without a committed offset counts from 0."""
     total = 0

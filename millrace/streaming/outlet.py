@@ -29,7 +29,7 @@ def upsert_handler(targets: VersionedTargets | SqlTargets, upserts: list[Upsert]
             if not ready.where(key_missing(ready, list(u.keys))).isEmpty():
                 raise ValueError(f"a key of {u.name} is missing")
             last = collapse_last(ready, list(u.keys), list(order))
-            sources[u.name] = (replace(u, prepare=None).project(last), list(u.keys), None)
+            sources[u.name] = (replace(u, prepare=None).project(last), u.stored_keys, None)
         targets.apply(context.batch, sources, context.run)
 
     return handler

@@ -76,6 +76,7 @@ class Consumer:
     classifier: Callable[[Exception], str] = classify
     parts: tuple = ()
     name: str | None = None
+    decoder: Callable[..., DataFrame] = codec.decode
     counts: Counter = field(default_factory=Counter)
 
     def __post_init__(self):
@@ -134,7 +135,7 @@ class Consumer:
     def __call__(self, rows: DataFrame, batch: int) -> None:
         """The body of foreachBatch."""
         run = self._run(rows)
-        seen = codec.decode(rows, exact=self.options.exact_json).persist()
+        seen = self.decoder(rows, exact=self.options.exact_json).persist()
         try:
             good = seen.where(~F.col("is_poison"))
             gate = codec.passes_gate(F.col("type"), self.options.expected_type)
@@ -264,6 +265,7 @@ class Producer:
     options: ProducerOptions = field(default_factory=ProducerOptions)
     carrier: Carrier | None = None
     signal: object | None = None
+    encoder: Callable[..., F.Column] = codec.encode
     meters: dict[str, Meter] = field(default_factory=lambda: meters(INLET))
     last_failure: str | None = None
 
@@ -290,7 +292,7 @@ class Producer:
         else:
             asked = rows.select(F.col("__key").alias("key"), F.col("__identity").alias("identity"), F.col("__summary").alias("summary"), F.col("__t").alias("t"), F.col(sequence).cast("long").alias("sequence"), F.col("__force").alias("force"))
             judged = self.carrier.admit(asked).select("sequence", "decision", "via", "summary", "retry_after")
-        value = codec.encode(F.struct(*records.columns), self.options.message_type, F.col(clock), self.options.source, self.options.version)
+        value = self.encoder(F.struct(*records.columns), self.options.message_type, F.col(clock), self.options.source, self.options.version)
         allowed = judged.where("decision = 'allow'").select(F.col("sequence").alias("__sequence"))
         out = rows.join(allowed, F.col(sequence) == F.col("__sequence"), "left_semi").select(F.col("__route").alias("key"), value.alias("value"))
         began, sent = time.monotonic(), True

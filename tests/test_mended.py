@@ -279,3 +279,31 @@ def test_kafka_options(spark):
     if not tables.has_kafka(spark):
         with pytest.raises(Exception):
             sinks.kafka_sink(KafkaConfig("a:1"), "t")(spark.range(1).selectExpr("'v' as value"))
+
+
+def test_the_gate_for_unknown_keys(spark, tmp_path):
+    stored = spark.createDataFrame([("b", "b", "B")], "key string, identity string, summary string")
+    c = carrier.Carrier(spark, str(tmp_path / "c"), 5, stored, gate=2)
+    rows = lambda *x: spark.createDataFrame([(k, k, str(n), t, n, f) for k, t, n, f in x], KEYS)
+    got = told(c.admit(rows(("a", 0, 1, False), ("b", 0, 2, False), ("c", 0, 3, False), ("c", 0, 4, False), ("d", 0, 5, True))))
+    assert got == {1: ("allow", "reserve", "1"), 2: ("duplicate", "backfill", "B"), 3: ("reject", "gate_full", None), 4: ("reject", "gate_full", None), 5: ("allow", "force", "5")}
+    assert told(c.admit(rows(("a", 1, 6, False), ("c", 1, 7, False))))[7] == ("allow", "reserve", "7")
+    assert {(r.key, r.summary, r.left) for r in c.lookup(spark.createDataFrame([("a",), ("c",), ("x",)], "key string"), 2).collect()} == {("a", "1", 3), ("c", "7", 4)}
+
+
+def test_parts_fit_their_protocols(spark, tmp_path):
+    from millrace.streaming import protocols
+
+    assert isinstance(carrier.MemoryCarrier(spark, str(tmp_path)), protocols.Admission) and isinstance(signals.Manual(), protocols.Backpressure)
+    assert isinstance(upsert.VersionedTargets(spark, "x"), protocols.Targets) and isinstance(sinks.SqlTargets(None, DbConfig("sqlite:///x")), protocols.Targets)
+    opened = sinks.connector(DbConfig(f"sqlite:///{tmp_path}/y.db"))()
+    assert opened.execute("select 1").fetchone() == (1,)
+    opened.close()
+    try:
+        import pyodbc  # noqa: F401
+    except ImportError:
+        with pytest.raises(ImportError):
+            sinks.connector(DbConfig("mssql+pyodbc://h/d"))
+    spec = upsert.Upsert(("id", "v"), ("id",), "t", types={"v": "double"}, stored={"id": "key_"})
+    out = spec.project(spark.createDataFrame([("a", "1.5")], "id string, v string"))
+    assert out.dtypes == [("key_", "string"), ("v", "double")] and spec.stored_keys == ["key_"]
