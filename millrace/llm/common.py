@@ -53,6 +53,25 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def written(df: DataFrame, path: str, settings: dict[str, str] | None = None) -> DataFrame:
+    """df as the table that is written at path, under session settings that hold for the write alone.
+
+    The shuffles that made it are dropped from the executors' disks, since nothing
+    reads them again.
+    """
+    spark = df.sparkSession
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | (settings or {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    return spark.read.parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """Delete all scratch folders; to be called when no result that reads them is wanted any more."""
     while _HANDED_OUT:

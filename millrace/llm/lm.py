@@ -19,10 +19,7 @@ from __future__ import annotations
 
 import math
 import pickle
-import uuid
-from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, id_fold, own_columns
+from .common import id_fold, own_columns, remove, scratch, written
 
 #: Least share of all tokens of what the tree in memory holds: words, and contexts with a next word.
 WORD_SHARE, PAIR_SHARE = 1e-6, 1e-6
@@ -39,7 +36,7 @@ LEAST = 3
 #: Share of all tokens from which on a key meets a broadcast list, which holds fewer than its inverse.
 HOT_SHARE = 1e-4
 #: Bits of the filter for each key, and at most.
-FILTER_BITS, FILTER_MOST = 32, 1 << 28
+FILTER_BITS, FILTER_MOST = 32, 1 << 27
 FILTER_BLOCK = 1 << 16
 #: Divergence times count, in nats, that a context must exceed, over the log of the tokens.
 DIVERGENCE = 3.0
@@ -47,9 +44,9 @@ DIVERGENCE = 3.0
 PRIOR = 4.0
 #: Bits of a word's number; the shares keep it and the number of pairs below.
 BITS = 20
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 HELD_WORDS = 250_000
-HELD_PAIRS = 800_000
+HELD_PAIRS = 600_000
 
 #: The end token, and what stands before a text; a word never holds a blank.
 END_WORD = b" "
@@ -86,24 +83,26 @@ def _chunks(texts: list[bytes], size: int):
 
 
 def count_words(train: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word binary, n long): how often each word, the end and the start occur, added up per task."""
+    """(word binary, n long): how often each word and the end occur, added up per task."""
 
     def batches(it):
-        seen: Counter = Counter()
+        held: list[pa.Table] = []
 
-        def rows():
-            out = pa.record_batch([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-            seen.clear()
-            return out
+        def merged() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
         for b in _sliced(it):
-            for t in _lowered(b.column("text")):
-                seen.update(words(t))
-                if len(seen) > HELD_WORDS:
-                    yield rows()
-            seen[END_WORD] += b.num_rows
-        if seen:
-            yield rows()
+            for chunk in _chunks(_lowered(b.column("text")), CHUNK):
+                flat = [w for t in chunk for w in words(t)]
+                flat += [END_WORD] * len(chunk)
+                seen = pa.array(flat, pa.binary()).value_counts()
+                held.append(pa.table({"word": seen.field("values"), "n": seen.field("counts")}))
+                if sum(x.num_rows for x in held) > HELD_WORDS:
+                    held[:] = [merged()]
+                    if held[0].num_rows > HELD_WORDS // 2:
+                        yield from held.pop().to_batches()
+        if held:
+            yield from merged().to_batches()
 
     return own_columns(train, text=text_col).mapInArrow(batches, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -161,29 +160,33 @@ class Tree:
             c[first] = -1
         return out
 
-    def log10(self, flat: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 probability of each token; of a word that isn't common, the part that comes on top of its root probability; 0 at starts."""
-        p = np.where(flat >= 0, self.root[flat], 1.0)
-        for level, context in zip(self.levels, self.contexts(flat, first)):
-            own = context >= 0
+    def scored(self, flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """log10(), and by level whether the tree says all that the run which ends at a token adds, so that no table need be asked."""
+        p, whole = np.where(flat >= 0, self.root[flat], 1.0), []
+        for k, (level, context) in enumerate(zip(self.levels, self.contexts(flat, first))):
+            known = context >= 0
+            own = known.copy()
             own[own] = level.retained[context[own]]
             at = np.flatnonzero(own)
             c = context[at]
             found = level.find(c, flat[at])
             n = np.where(found >= 0, level.n[found], 0.0) if len(level.n) else np.zeros(len(at))
             p[at] = (n + level.rest[c] * p[at]) / (level.size[c] + PRIOR)
+            # runs of the last level are no contexts, so that one after a context that isn't retained adds nothing
+            settled = known & ~own if k + 1 == len(self.levels) else np.zeros(len(flat), dtype=bool)
+            settled[at[found >= 0]] = True
+            whole.append(settled)
         p[first] = 1.0
-        return np.log10(p)
+        return np.log10(p), whole
+
+    def log10(self, flat: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """log10 probability of each token; of a word that isn't common, the part that comes on top of its root probability; 0 at starts."""
+        return self.scored(flat, first)[0]
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_number": None}
 
 
-@lru_cache(maxsize=2)
-def _unpacked(packed: bytes) -> Tree | Filter | None:
-    return pickle.loads(packed)
-
-
 def _starts(tokens: list[list[bytes]]) -> np.ndarray:
     return np.concatenate([[0], np.cumsum([len(t) + 1 for t in tokens])[:-1]]).astype(np.int64)
 
@@ -255,14 +258,12 @@ def _filter(keys: DataFrame) -> Filter:
 def count_runs(train: DataFrame, length: int, kept: Filter | None = None, text_col: str = "text") -> DataFrame:
     """(a, b, [c,] n, key, [head, tail]): pairs or triples of words that occur LEAST times or more, by the hashes of their words.
 
-    kept holds the pairs that a triple must consist of to occur so often.  head
-    and tail are the keys of a triple's pairs.
+    kept holds the shorter runs that one must consist of to occur so often: words
+    of a pair, pairs of a triple.  head and tail are the keys of a triple's pairs.
     """
-    packed = pickle.dumps(kept)
     names = ["a", "b", "c"][:length]
 
     def batches(it):
-        kept = _unpacked(packed)
         held: list[list[np.ndarray]] = []
 
         def merged():
@@ -279,7 +280,7 @@ def count_runs(train: DataFrame, length: int, kept: Filter | None = None, text_c
                 keys = _keys(tokens, _starts(tokens))
                 ok = keys[length - 1] != 0
                 if kept is not None:
-                    has = kept.has(keys[1])
+                    has = kept.has(keys[length - 2])
                     ok[1:] &= has[:-1] & has[1:]
                 at = np.flatnonzero(ok)
                 key, where, n = np.unique(keys[length - 1][at], return_index=True, return_counts=True)
@@ -330,18 +331,21 @@ class Model:
     least: int
     table: DataFrame
     added: DataFrame
-    filter: bytes
+    filter: Filter
 
 
 def fit(docs: DataFrame, usable: Column | None = None, text_col: str = "text") -> Model:
     """A model of all usable rows.  No usable row: no word is known and every token has the same probability."""
     spark = docs.sparkSession
     train = docs.where(usable) if usable is not None else docs
-    place = f"{ensure_checkpoint_dir(spark)}/lm-{uuid.uuid4().hex}"
+    place = scratch(spark, "lm")
 
     def stored(name: str, df: DataFrame) -> DataFrame:
-        df.write.parquet(f"{place}/{name}")
-        return spark.read.parquet(f"{place}/{name}")
+        return written(df, f"{place}/{name}", {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"})
+
+    def done(*names: str) -> None:
+        for name in names:
+            remove(spark, f"{place}/{name}")
 
     def hashed(it):
         for b in it:
@@ -366,17 +370,21 @@ def fit(docs: DataFrame, usable: Column | None = None, text_col: str = "text") -
     own = F.when(F.col("retained"), share).otherwise(F.col("parent"))
     over = F.when(F.col("retained"), F.log10(share / F.col("parent")) - back).otherwise(0.0)
 
-    counted = stored("counted2", count_runs(train, 2, None, text_col))
+    # a run occurs often enough only if the shorter ones in it do; a text's start isn't counted as a word
+    often = table.where(F.col("n") >= LEAST).select("key").union(spark.range(1).select(F.lit(start).alias("key")))
+    counted = stored("counted2", count_runs(train, 2, _filter(often), text_col))
     roots = table.select(F.col("key").alias("b"), ((F.col("n") + 0.5) / F.lit(floor)).alias("parent"), F.col("n").alias("m"))
     rooted = stored("rooted", _joined(counted, roots, "b", F.col("m") >= hot).drop("m"))
     one = stored("contexts1", _contexts(rooted, sizes, "a", whole.n))
     pairs = stored("pairs", _joined(rooted, one, "a", F.col("size") >= hot).select("a", "b", "n", "key", own.alias("p"), over.alias("over")))
+    done("counted2", "rooted")
 
-    counted = stored("counted3", count_runs(train, 3, _filter(counted), text_col))
+    counted = stored("counted3", count_runs(train, 3, _filter(pairs), text_col))
     below = pairs.select(F.col("key").alias("tail"), F.col("p").alias("parent"), F.col("n").alias("m"))
     rooted = stored("rooted3", _joined(counted, below, "tail", F.col("m") >= hot).select("head", "c", "n", "key", "parent"))
     two = stored("contexts2", _contexts(rooted, pairs.select(F.col("key").alias("head"), F.col("n").alias("size")), "head", whole.n))
     triples = stored("triples", _joined(rooted, two, "head", F.col("size") >= hot).select("head", "c", "n", "key", over.alias("over")))
+    done("counted3", "rooted3")
 
     kept = F.col("retained")
     rare = table.where(F.col("n") < least).join(one.where(kept).select(F.col("a").alias("key"), back.alias("back")), "key", "left")
@@ -416,7 +424,8 @@ def fit(docs: DataFrame, usable: Column | None = None, text_col: str = "text") -
     far = triples.where(F.col("n") >= enough).select("head", "c", "n").toArrow()
     code = (place_of(far.column("head")) << BITS) | number(far.column("c"))
     tree.levels.append(level(code, far.column("n").to_numpy(), tree.levels[0].n.copy(), place_of(held.column("head")), held))
-    return Model(pickle.dumps(tree), whole.n, whole.v, least, table, added, pickle.dumps(_filter(lone)))
+    done("pairs", "triples", "contexts2")
+    return Model(pickle.dumps(tree), whole.n, whole.v, least, table, added, _filter(lone))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -425,11 +434,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     A null text is empty and has the end token alone.  Repeated rows give a row
     each, null ids are kept, an empty table gives an empty result.
     """
-    packed, passed = model.packed, model.filter
+    tree, joined = pickle.loads(model.packed), model.filter
     floor = model.tokens + 0.5 * (model.vocabulary + 1)
 
     def batches(it):
-        tree, joined = _unpacked(packed), _unpacked(passed)
         base_log = np.log10(tree.root)
         for b in _sliced(it):
             texts, done = _lowered(b.column("text")), 0
@@ -439,13 +447,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 common = flat >= 0
                 base = np.where(common, base_log[flat], 0.0)
                 base[first] = 0.0
-                value = tree.log10(flat, first)
+                value, whole = tree.scored(flat, first)
                 common[first] = False
                 sums = [np.add.reduceat(x, first) for x in (base, value, common.astype(np.int64))]
                 missing = ~common
                 missing[first] = False
                 key, pair, triple = _keys(tokens, first)
-                places = [np.flatnonzero(missing), *(np.flatnonzero(joined.has(x)) for x in (pair, triple))]
+                places = [np.flatnonzero(missing), *(np.flatnonzero(joined.has(x) & ~said) for x, said in zip((pair, triple), whole))]
                 wanted = np.concatenate([x[p] for x, p in zip((key, pair, triple), places)])
                 owner = np.searchsorted(first, np.concatenate(places), side="right") - 1
                 _, at, times = np.unique(_pair(wanted, owner.astype(np.uint64)), return_index=True, return_counts=True)
