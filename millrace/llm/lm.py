@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import pickle
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import id_fold, own_columns, remove, scratch, written
 
 #: Least share of all tokens of what the tree in memory holds: words, and contexts with a next word.
-WORD_SHARE, PAIR_SHARE = 1e-6, 1e-6
+WORD_SHARE, PAIR_SHARE = 1e-6, 5e-7
 #: Least count of a context with a next word.
 LEAST = 3
 #: Share of all tokens from which on a key meets a broadcast list, which holds fewer than its inverse.
@@ -43,10 +44,16 @@ DIVERGENCE = 3.0
 #: Weight of the parent's distribution, in symbols.
 PRIOR = 4.0
 #: Bits of a word's number; the shares keep it and the number of pairs below.
-BITS = 20
+BITS = 21
 CHUNK = 1_000_000
 HELD_WORDS = 250_000
 HELD_PAIRS = 600_000
+#: Settings of the writes that read texts in Python: smaller batches.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: Parts in which rows are scored, one after the other; more need less disk at a time and read the counts more often.
+SLICES = 2
+#: What a row's own line says of it.
+OWN = ["id", "tokens", "known", "base", "score"]
 
 #: The end token, and what stands before a text; a word never holds a blank.
 END_WORD = b" "
@@ -341,7 +348,7 @@ def fit(docs: DataFrame, usable: Column | None = None, text_col: str = "text") -
     place = scratch(spark, "lm")
 
     def stored(name: str, df: DataFrame) -> DataFrame:
-        return written(df, f"{place}/{name}", {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"})
+        return written(df, f"{place}/{name}", BATCHES)
 
     def done(*names: str) -> None:
         for name in names:
@@ -429,7 +436,7 @@ def fit(docs: DataFrame, usable: Column | None = None, text_col: str = "text") -
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, n_known, base_score, score) per row.
+    """(id, n_tokens, n_known, base_score, score) per row, as tables that are written here.
 
     A null text is empty and has the end token alone.  Repeated rows give a row
     each, null ids are kept, an empty table gives an empty result.
@@ -462,38 +469,40 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 done += m
                 index = pa.array(np.concatenate([np.arange(m), owner[at]]), pa.int64())
                 # a row's own line has an even key, which no word has, and spreads the lines evenly
-                own = rows.to_numpy().view(np.uint64) << np.uint64(1)
-                nothing = lambda x: pa.concat_arrays([x, pa.nulls(k, x.type)])
+                line = rows.to_numpy().view(np.uint64) << np.uint64(1)
+                own = pa.StructArray.from_arrays([ids, pa.array([len(t) for t in tokens], pa.int64()), *(pa.array(sums[k]) for k in (2, 0, 1))], names=OWN)
                 yield pa.record_batch(
                     [
                         rows.take(index),
-                        pa.concat_arrays([ids, pa.nulls(k, ids.type)]),
-                        _signed(np.concatenate([own, wanted[at]])),
+                        _signed(np.concatenate([line, wanted[at]])),
                         pa.array(np.concatenate([np.zeros(m, dtype=np.int64), times])),
                         pa.array(np.concatenate([np.zeros(m, dtype=bool), at < len(places[0])])),
-                        nothing(pa.array([len(t) for t in tokens], pa.int64())),
-                        nothing(pa.array(sums[2])),
-                        nothing(pa.array(sums[0])),
-                        nothing(pa.array(sums[1])),
+                        pa.concat_arrays([own, pa.nulls(k, own.type)]),
                     ],
-                    names=["row", "id", "key", "times", "word", "tokens", "known", "base", "score"],
+                    names=["row", "key", "times", "word", "own"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
+    kinds = f"row long, key long, times long, word boolean, own struct<id: {kind}, tokens: long, known: long, base: double, score: double>"
     rows = own_columns(docs, id=id_col, text=text_col).select(F.monotonically_increasing_id().alias("row"), "id", "text")
-    lines = rows.mapInArrow(batches, f"row long, id {kind}, key long, times long, word boolean, tokens long, known long, base double, score double")
     n = F.coalesce(F.col("n"), F.lit(0))
     root = F.when(F.col("word"), F.col("times") * F.log10((n + 0.5) / F.lit(floor))).otherwise(0.0)
-    known = lines.join(model.added, "key", "left").select(
-        "row",
-        "id",
-        "tokens",
-        F.coalesce("known", F.when(n > 0, F.col("times")).otherwise(0)).alias("known"),
-        F.coalesce("base", root).alias("base"),
-        F.coalesce("score", root + F.col("times") * F.coalesce("value", F.lit(0.0))).alias("score"),
-    )
-    summed = known.groupBy("row").agg(F.max("id").alias("id"), F.max("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    return summed.select("id", "n_tokens", "n_known", "base_score", "score")
+
+    def scores(part: DataFrame) -> DataFrame:
+        known = part.mapInArrow(batches, kinds).join(model.added, "key", "left").select(
+            "row",
+            "own",
+            F.coalesce("own.known", F.when(n > 0, F.col("times")).otherwise(0)).alias("known"),
+            F.coalesce("own.base", root).alias("base"),
+            F.coalesce("own.score", root + F.col("times") * F.coalesce("value", F.lit(0.0))).alias("score"),
+        )
+        summed = known.groupBy("row").agg(F.max("own.id").alias("id"), F.max("own.tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+        return summed.select("id", "n_tokens", "n_known", "base_score", "score")
+
+    # every row is in one slice, by what it says, however it is read; the lines of a slice are dropped before the next one's are made
+    place = scratch(docs.sparkSession, "lm-scores")
+    out = [written(scores(rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(SLICES)) == k)), f"{place}/{k}", BATCHES) for k in range(SLICES)]
+    return reduce(DataFrame.unionByName, out)
 
 
 def learnable(id_col: str = "doc_id") -> Column:
